@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from rxcohort.functions.summary import mean_of, mean_of_known, one_row, percent, quantile_of, value_counts
 from rxcohort.operators.codelists import flagged, named
 from rxcohort.operators.cohorts import START, cohort_share, new_user_cohort
-from rxcohort.plans.lookup import keep_codes, tag_codes
+from rxcohort.plans.lookup import keep_codes, local_rows, tag_codes
 from rxcohort.schema import DRUG_PRESETS, OUTCOME_KEYWORDS
 
 
@@ -83,6 +83,17 @@ def age_summary(cohort: DataFrame, person: DataFrame) -> DataFrame:
     )
 
 
+def with_sex(rows: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
+    """Rows with a known ``gender_concept_id``, and its concept_name.
+
+    The dictionary is first cut down to the sex ids in use. So few keys would
+    put all rows into as few partitions if the join were shuffled.
+    """
+    used = person.select(F.col("gender_concept_id").alias("concept_id")).distinct()
+    names = keep_codes(concept.select("concept_id", "concept_name"), "concept_id", used)
+    return tag_codes(rows, "gender_concept_id", names)
+
+
 def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
     """Cohort members per sex, with the percentage of the whole cohort: sex, patients, pct.
 
@@ -97,7 +108,7 @@ def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> D
         .withColumn("size", F.sum("n").over(Window.partitionBy()))
     )
     by_sex = (
-        counted.join(concept, F.col("gender_concept_id") == F.col("concept_id"))
+        with_sex(counted, person, concept)
         .groupBy(F.col("concept_name").alias("sex"))
         .agg(F.sum("n").alias("patients"), F.max("size").alias("size"))
     )
@@ -171,7 +182,7 @@ def presets_summary(
         mean_of_known("age").alias("mean_age"),
         quantile_of("age", 0.5).alias("median_age"),
     )
-    listed = drug_exposure.sparkSession.createDataFrame([(label,) for label in labels], "preset string")
+    listed = local_rows(drug_exposure.sparkSession, "preset string", [(label,) for label in labels])
     total = person.agg(F.count("*")).scalar()
     return (
         listed.join(found, "preset", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxcohort.operators.safety import dummy_encode, group_risks, risk_ratio_ci, study_cells
+from rxcohort.plans.lookup import local_rows
 from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES, Cdm
 
 COVARIATES = ("exposed", "age", "female")
@@ -24,6 +25,9 @@ WALD_Z = 1.959963984540054
 ODDS_SCHEMA = "or_adj double, lo double, hi double, converged boolean"
 NO_ESTIMATE = (None, None, None, False)
 
+# Covariate patterns read by one task per iteration; more are left spread out.
+PATTERNS_PER_TASK = 20_000
+
 
 def _exp(x: float) -> float | None:
     try:
@@ -32,16 +36,13 @@ def _exp(x: float) -> float | None:
         return None
 
 
-def _can_fit(cells: DataFrame) -> bool:
-    """Whether the outcome and every covariate take more than one value."""
-    known = cells.dropna(subset=[*COVARIATES, "outcome"])
-    spread = known.agg(*[(F.max(c) > F.min(c)).alias(c) for c in (*COVARIATES, "outcome")]).first()
-    return all(spread)
-
-
 def _fit(cells: DataFrame) -> tuple:
-    if not _can_fit(cells):
+    varied = [F.coalesce(F.max(c) > F.min(c), F.lit(False)) for c in (*COVARIATES, "outcome")]
+    patterns, *differ = cells.agg(F.count("*"), *varied).first()
+    if not all(differ):
         return NO_ESTIMATE
+    if patterns <= PATTERNS_PER_TASK:
+        cells = cells.repartition(1)
     design = VectorAssembler(inputCols=list(COVARIATES), outputCol="features", handleInvalid="skip")
     logit = GeneralizedLinearRegression(
         family="binomial",
@@ -68,6 +69,7 @@ def _weighted(rows: DataFrame, weight: str | None, arms: Sequence[str]) -> DataF
     one = F.lit(1) if weight is None else F.col(weight)
     return (
         dummy_encode(rows, arms)
+        .dropna(subset=[*COVARIATES, "outcome"])
         .groupBy(*COVARIATES, "outcome")
         .agg(F.sum(one).cast("double").alias("weight"))
     )
@@ -87,7 +89,7 @@ def adjusted_odds_ratio(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str
         estimate = _fit(cells)
     finally:
         cells.unpersist()
-    return rows.sparkSession.createDataFrame([estimate], ODDS_SCHEMA)
+    return local_rows(rows.sparkSession, ODDS_SCHEMA, [estimate])
 
 
 def forest_rows(crude: DataFrame, adjusted: DataFrame) -> DataFrame:
@@ -126,4 +128,4 @@ def comparative_safety(
         cells.unpersist()
     record = tuple(by_arm[arm][c] for arm in arms for c in ("n", "events", "risk"))
     record += (crude["rr"], crude["lo"], crude["hi"]) + tuple(adjusted)
-    return cdm.person.sparkSession.createDataFrame([record], RECORD_SCHEMA)
+    return local_rows(cdm.person.sparkSession, RECORD_SCHEMA, [record])

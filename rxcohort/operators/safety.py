@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from rxcohort.functions.summary import one_row, share
 from rxcohort.operators.codelists import codelist_by_ids
 from rxcohort.operators.cohorts import comparator_cohort, new_user_cohort, outcome_cohort
-from rxcohort.operators.describe import age_at
-from rxcohort.plans.lookup import broadcast_if_small
+from rxcohort.operators.describe import age_at, with_sex
+from rxcohort.plans.lookup import local_rows
 from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES, Cdm
 
 # Fixed value: normal quantile used for the risk-ratio interval.
@@ -101,19 +101,9 @@ def comparative_rows(
     concept: DataFrame,
     ids: Sequence[int] = OUTCOME_IDS,
 ) -> DataFrame:
-    """One row per member with a known sex: grp, age, sex, outcome, prior_bleed.
-
-    The dictionary is cut down to the sex ids in use before it meets the
-    members, because a join on so few keys must not be shuffled.
-    """
-    used = person.select(F.col("gender_concept_id").alias("concept_id")).distinct()
-    sexes = concept.join(used, "concept_id", "left_semi").select(
-        F.col("concept_id").alias("gender_concept_id"), F.upper("concept_name").alias("sex")
-    )
-    rows = _analysis_persons(cohort, person, condition_occurrence, ids)
-    return rows.join(broadcast_if_small(sexes), "gender_concept_id").select(
-        "grp", "age", "sex", "outcome", "prior_bleed"
-    )
+    """One row per member with a known sex: grp, age, sex, outcome, prior_bleed."""
+    rows = with_sex(_analysis_persons(cohort, person, condition_occurrence, ids), person, concept)
+    return rows.select("grp", "age", F.upper("concept_name").alias("sex"), "outcome", "prior_bleed")
 
 
 def comparative_cells(
@@ -135,7 +125,7 @@ def comparative_cells(
         .agg(F.count("*").alias("persons"))
     )
     return (
-        cells.join(concept, F.col("gender_concept_id") == F.col("concept_id"))
+        with_sex(cells, person, concept)
         .groupBy(*keys, F.upper("concept_name").alias("sex"))
         .agg(F.sum("persons").alias("persons"))
         .select("grp", "age", "sex", "outcome", "prior_bleed", "persons")
@@ -178,7 +168,7 @@ def group_risks(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str | None
     """
     one = F.lit(1) if weight is None else F.col(weight)
     counted = rows.groupBy("grp").agg(F.sum(one).alias("n"), F.sum(F.col("outcome") * one).alias("events"))
-    listed = rows.sparkSession.createDataFrame([(arm,) for arm in arms], "grp string")
+    listed = local_rows(rows.sparkSession, "grp string", [(arm,) for arm in arms])
     filled = listed.join(counted, "grp", "left").na.fill(0, ["n", "events"])
     return filled.select("grp", "n", "events", (F.lit(100.0) * share(F.col("events"), F.col("n"))).alias("risk"))
 

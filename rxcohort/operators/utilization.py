@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from rxcohort.functions.summary import mean_of, one_row, percent, quantile_of, six_numbers, value_counts
 from rxcohort.operators.codelists import flagged, labelled, named, not_named
 from rxcohort.operators.cohorts import START, cohort_members
-from rxcohort.plans.lookup import broadcast_if_small, drop_codes, keep_codes, tag_codes
+from rxcohort.plans.lookup import drop_codes, keep_codes, names_in_use, tag_codes
 from rxcohort.schema import COMEDICATION_NAMES, TARGET_NAMES
 
 END = "drug_exposure_end_date"
@@ -106,7 +106,7 @@ def concomitant_by_id(
     codes = named(concept, keywords)
     members = cohort_members(drug_exposure, codes)
     pairs = drop_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes).distinct()
-    names = broadcast_if_small(concept.select("concept_id", "concept_name"))
+    names = names_in_use(drug_exposure, "drug_concept_id", concept.select("concept_id", "concept_name"))
     size = members.agg(F.count("*")).scalar()
     drugs = _most_used(_other_drugs(pairs, members, names), n)
     return drugs.withColumn("pct", percent(F.col("patients"), size))
@@ -118,7 +118,7 @@ def concomitant_by_name(
     """As ``concomitant_by_id``, excluding by name, so drugs without a name are left out: drug, patients."""
     members = cohort_members(drug_exposure, named(concept, keywords))
     pairs = drug_exposure.select("person_id", "drug_concept_id").distinct()
-    names = broadcast_if_small(not_named(concept, keywords))
+    names = names_in_use(drug_exposure, "drug_concept_id", not_named(concept, keywords))
     return _most_used(_other_drugs(pairs, members, names), n)
 
 

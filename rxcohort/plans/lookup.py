@@ -15,48 +15,76 @@ The dictionary is taken to hold each concept id once, as its primary key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LITERAL_CODES = 1_000
 BROADCAST_CODES = 500_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only if ``df`` was counted to hold at most ``max_rows`` rows."""
-    bound = BROADCAST_CODES if max_rows is None else max_rows
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few rows known to the driver, as a relation the optimizer sees the size of."""
+    names = [field.split()[0] for field in schema.split(",")]
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
-def _few_rows(codes: DataFrame) -> list | None:
-    rows = codes.limit(LITERAL_CODES + 1).collect()
-    return rows if len(rows) <= LITERAL_CODES else None
+def fits(df: DataFrame) -> bool:
+    """Whether ``df`` was counted to hold no more rows than may be broadcast."""
+    return df.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits(df) else df
+
+
+def names_in_use(facts: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """Dictionary rows for the ids in ``facts``, hinted for broadcast if few enough.
+
+    A dictionary too large to broadcast is cut down to the ids that occur,
+    which are usually a small part of a vocabulary.
+    """
+    if fits(names):
+        return F.broadcast(names)
+    used = facts.select(F.col(key).alias("concept_id")).distinct()
+    return broadcast_if_small(names.join(used, "concept_id", "left_semi"))
+
+
+def _few(codes: DataFrame) -> pa.Table | None:
+    """All rows of a short list, or None for a list of more than ``LITERAL_CODES`` rows."""
+    rows = codes.limit(LITERAL_CODES + 1).toArrow()
+    return rows if rows.num_rows <= LITERAL_CODES else None
+
+
+def _ids(codes: DataFrame, key: str) -> DataFrame:
+    return codes.select(F.col("concept_id").alias(key)).where(F.col(key).isNotNull())
 
 
 def keep_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     """Fact rows whose ``key`` is one of ``codes.concept_id``."""
-    ids = codes.select(F.col("concept_id").alias(key))
-    few = _few_rows(ids)
+    ids = _ids(codes, key)
+    few = _few(ids)
     if few is not None:
-        return facts.where(F.col(key).isin([row[0] for row in few]))
+        return facts.where(F.col(key).isin(few[key].to_pylist()))
     return facts.join(broadcast_if_small(ids), key, "left_semi")
 
 
 def drop_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     """Fact rows whose non-NULL ``key`` is none of ``codes.concept_id``."""
     facts = facts.where(F.col(key).isNotNull())
-    ids = codes.select(F.col("concept_id").alias(key))
-    few = _few_rows(ids)
+    ids = _ids(codes, key)
+    few = _few(ids)
     if few is not None:
-        return facts.where(~F.col(key).isin([row[0] for row in few]))
+        return facts.where(~F.col(key).isin(few[key].to_pylist()))
     return facts.join(broadcast_if_small(ids), key, "left_anti")
 
 
 def tag_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     """Inner join that adds the other columns of ``codes`` to the matching fact rows."""
-    keyed = codes.withColumnRenamed("concept_id", key)
-    few = _few_rows(keyed)
+    keyed = codes.withColumnRenamed("concept_id", key).where(F.col(key).isNotNull())
+    few = _few(keyed)
     if few is None:
         return facts.join(broadcast_if_small(keyed), key)
     listed = facts.sparkSession.createDataFrame(few, keyed.schema)
-    return facts.where(F.col(key).isin([row[key] for row in few])).join(F.broadcast(listed), key)
+    return facts.where(F.col(key).isin(few[key].to_pylist())).join(F.broadcast(listed), key)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxcohort.plans.lookup import local_rows
 from rxcohort.schema import Cdm
 
 CONDITION_BASE = 2_000_000
@@ -67,7 +68,7 @@ def _concept(spark: SparkSession, part: DataFrame, orders: DataFrame) -> DataFra
         .distinct()
         .select(_condition_id(), F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
     )
-    sexes = spark.createDataFrame([(FEMALE, "Female"), (MALE, "Male")], "concept_id bigint, concept_name string")
+    sexes = local_rows(spark, "concept_id bigint, concept_name string", [(FEMALE, "Female"), (MALE, "Male")])
     return drugs.union(conditions).union(sexes)
 
 
