@@ -92,6 +92,22 @@ def adjusted_odds_ratio(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str
     return local_rows(rows.sparkSession, ODDS_SCHEMA, [estimate])
 
 
+def study_estimates(
+    cells: DataFrame, arms: Sequence[str] = ARMS, weight: str = "persons"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Arm risks, crude risk ratio and adjusted odds ratio from cells that are computed once.
+
+    The results are a few local rows, so the kept cells are released here.
+    """
+    kept = cells.persist()
+    try:
+        risks = group_risks(kept, arms, weight)
+        risks = cells.sparkSession.createDataFrame(risks.toArrow(), risks.schema)
+        return risks, risk_ratio_ci(risks, arms), adjusted_odds_ratio(kept, arms, weight)
+    finally:
+        kept.unpersist()
+
+
 def forest_rows(crude: DataFrame, adjusted: DataFrame) -> DataFrame:
     """Estimates ready for a forest plot: measure, est, lo, hi."""
     first = crude.select(F.lit("Crude RR").alias("measure"), F.col("rr").alias("est"), "lo", "hi")
@@ -118,14 +134,9 @@ def comparative_safety(
     The tables are read once: cohorts, outcomes and covariates are reduced to
     cells, and both risks and the model come from the kept cells.
     """
-    cells = study_cells(cdm, target, comparator, ids, arms).persist()
-    try:
-        risks = group_risks(cells, arms, "persons")
-        by_arm = {row["grp"]: row for row in risks.collect()}
-        crude = risk_ratio_ci(risks, arms).first()
-        adjusted = adjusted_odds_ratio(cells, arms, "persons").first()
-    finally:
-        cells.unpersist()
+    risks, crude, adjusted = study_estimates(study_cells(cdm, target, comparator, ids, arms), arms)
+    by_arm = {row["grp"]: row for row in risks.collect()}
+    ratio = crude.first()
     record = tuple(by_arm[arm][c] for arm in arms for c in ("n", "events", "risk"))
-    record += (crude["rr"], crude["lo"], crude["hi"]) + tuple(adjusted)
+    record += (ratio["rr"], ratio["lo"], ratio["hi"], *adjusted.first())
     return local_rows(cdm.person.sparkSession, RECORD_SCHEMA, [record])

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxcohort.plans.lookup import local_rows
 from rxcohort.schema import declared
-from rxcohort.sources.store import write_table
+from rxcohort.sources.store import has_table, write_table
 
 STATUS_SCHEMA = "table string, path string, loaded boolean, error string"
 
@@ -70,30 +69,44 @@ def read_csv(spark: SparkSession, path: str, table: str, multi_line: bool = Fals
     return declared(df.select(*blank_as_null), table)
 
 
+def _load_table(spark: SparkSession, table: str, paths: list[str], store: str, multi_line: bool) -> list[tuple]:
+    """Load the last readable file of one table; a status row per file."""
+    status, loaded = [], None
+    for path in reversed(paths):
+        if loaded is not None:
+            status.append((table, path, False, f"replaced by {loaded}"))
+            continue
+        try:
+            df = read_csv(spark, path, table, multi_line)
+            if has_table(spark, store, table):
+                df.write.format("noop").mode("overwrite").save()  # an unreadable file must not cost the old table
+            write_table(df, store, table)
+        except Exception as error:  # nor stop the other files
+            status.append((table, path, False, str(error).split("\n")[0]))
+        else:
+            loaded = path
+            status.append((table, path, True, None))
+    return status
+
+
 def load_cdm(
     spark: SparkSession, directory: str, store: str, multi_line: Iterable[str] = (), parallel: int = 4
 ) -> DataFrame:
     """Load every CSV file into the store: table, path, loaded, error.
 
     A file that cannot be read or typed is reported and skipped. Of several
-    files with the same stem the last one by path is loaded and the others are
-    reported. Loading again replaces. The rows of the result are the files, and
-    the loading is done when this is called.
+    files with the same stem the last readable one by path is loaded and the
+    others are reported. Loading again replaces. The loading is done when this
+    is called; the result has one row per file.
     """
     quoted = {name.upper() for name in multi_line}
-    files = discover_csv(spark, directory).collect()
-    last = {row["table"]: row["path"] for row in files}
+    by_table: dict[str, list[str]] = {}
+    for row in discover_csv(spark, directory).collect():
+        by_table.setdefault(row["table"], []).append(row["path"])
 
-    def load(row) -> tuple:
-        table, path = row["table"], row["path"]
-        if last[table] != path:
-            return table, path, False, f"replaced by {PurePosixPath(last[table]).name} at {last[table]}"
-        try:
-            write_table(read_csv(spark, path, table, table in quoted), store, table)
-        except Exception as error:  # any unreadable file must not stop the others
-            return table, path, False, str(error).split("\n")[0]
-        return table, path, True, None
+    def load(table: str) -> list[tuple]:
+        return _load_table(spark, table, by_table[table], store, table in quoted)
 
     with ThreadPoolExecutor(parallel) as pool:
-        status = list(pool.map(load, files))
+        status = [row for rows in pool.map(load, by_table) for row in rows]
     return local_rows(spark, STATUS_SCHEMA, status)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,14 @@ def read_table(spark: SparkSession, store: str, table: str) -> DataFrame:
     return spark.read.parquet(table_path(store, table))
 
 
+def has_table(spark: SparkSession, store: str, table: str) -> bool:
+    try:
+        read_table(spark, store, table)
+    except AnalysisException:
+        return False
+    return True
+
+
 def read_cdm(spark: SparkSession, store: str, views: bool = False) -> Cdm:
     """The tables the operators read; with ``views`` also as temporary views of the same names."""
     tables = {name: read_table(spark, store, name) for name in COLUMN_TYPES}
