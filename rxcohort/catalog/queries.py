@@ -118,11 +118,13 @@ ON_TABLES: dict[str, Callable[[Cdm], DataFrame]] = {
 
 
 def _on_proxy(operator: Callable[[Cdm], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _rounded(operator(proxy.proxy_cdm(spark, sf_dir)))
+    return lambda spark, sf_dir: _rounded(operator(proxy.ProxyCdm(spark, sf_dir)))
 
 
 def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_row_counts(spark, proxy.proxy_cdm(spark, sf_dir)._asdict())
+    t = proxy.ProxyCdm(spark, sf_dir)
+    tables = {name: getattr(t, name) for name in ("person", "condition_occurrence", "drug_exposure")}
+    return core_row_counts(spark, tables)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,7 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.lit(100.0) * share(part, whole)
+    return share(F.lit(100.0) * part, whole)
 
 
 def value_counts(df: DataFrame, value: str, *by: str) -> DataFrame:

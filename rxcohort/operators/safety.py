@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxcohort.functions.summary import one_row, share
+from rxcohort.functions.summary import one_row, percent, share
 from rxcohort.operators.codelists import codelist_by_ids
 from rxcohort.operators.cohorts import comparator_cohort, new_user_cohort, outcome_cohort
 from rxcohort.operators.describe import age_at, with_sex
@@ -170,7 +170,7 @@ def group_risks(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str | None
     counted = rows.groupBy("grp").agg(F.sum(one).alias("n"), F.sum(F.col("outcome") * one).alias("events"))
     listed = local_rows(rows.sparkSession, "grp string", [(arm,) for arm in arms])
     filled = listed.join(counted, "grp", "left").na.fill(0, ["n", "events"])
-    return filled.select("grp", "n", "events", (F.lit(100.0) * share(F.col("events"), F.col("n"))).alias("risk"))
+    return filled.select("grp", "n", "events", percent(F.col("events"), F.col("n")).alias("risk"))
 
 
 def arm_counts(risks: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:

@@ -16,7 +16,7 @@ The dictionary is taken to hold each concept id once, as its primary key.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LITERAL_CODES = 1_000
@@ -57,6 +57,12 @@ def _few(codes: DataFrame) -> pa.Table | None:
     return rows if rows.num_rows <= LITERAL_CODES else None
 
 
+def _listed(key: str, few: pa.Table) -> Column:
+    """``key IN (...)``, written as text: a column call per id takes longer than the scan it saves."""
+    ids = few[key].to_pylist()
+    return F.expr(f"`{key}` IN ({', '.join(map(str, ids))})") if ids else F.lit(False)
+
+
 def _ids(codes: DataFrame, key: str) -> DataFrame:
     return codes.select(F.col("concept_id").alias(key)).where(F.col(key).isNotNull())
 
@@ -66,7 +72,7 @@ def keep_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     ids = _ids(codes, key)
     few = _few(ids)
     if few is not None:
-        return facts.where(F.col(key).isin(few[key].to_pylist()))
+        return facts.where(_listed(key, few))
     return facts.join(broadcast_if_small(ids), key, "left_semi")
 
 
@@ -76,7 +82,7 @@ def drop_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     ids = _ids(codes, key)
     few = _few(ids)
     if few is not None:
-        return facts.where(~F.col(key).isin(few[key].to_pylist()))
+        return facts.where(~_listed(key, few))
     return facts.join(broadcast_if_small(ids), key, "left_anti")
 
 
@@ -87,4 +93,4 @@ def tag_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     if few is None:
         return facts.join(broadcast_if_small(keyed), key)
     listed = facts.sparkSession.createDataFrame(few, keyed.schema)
-    return facts.where(F.col(key).isin(few[key].to_pylist())).join(F.broadcast(listed), key)
+    return facts.where(_listed(key, few)).join(F.broadcast(listed), key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +65,8 @@ DRUG_PRESETS = {
 }
 
 
-class Cdm(NamedTuple):
-    """The four tables the operators read."""
+class Cdm(Protocol):
+    """Anything that holds the four tables the operators read."""
 
     person: DataFrame
     concept: DataFrame

@@ -8,11 +8,12 @@ every other id, however many parts there are.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxcohort.plans.lookup import local_rows
-from rxcohort.schema import Cdm
 
 CONDITION_BASE = 2_000_000
 FEMALE, MALE = 3_000_001, 3_000_002
@@ -33,17 +34,44 @@ PRESETS = {
 }
 
 
-def proxy_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Columns used of each source table. Stating them spares a look at every file's footer.
+SOURCES = {
+    "customer": "c_custkey bigint, c_nationkey int",
+    "part": "p_partkey bigint, p_name string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz"
+    ),
+}
 
-    orders = table("orders")
-    return Cdm(
-        person=_person(table("customer")),
-        concept=_concept(spark, table("part"), orders),
-        condition_occurrence=_conditions(orders),
-        drug_exposure=_exposures(table("lineitem"), orders),
-    )
+
+class ProxyCdm:
+    """The four tables, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    def _source(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def person(self) -> DataFrame:
+        return _person(self._source("customer"))
+
+    @cached_property
+    def concept(self) -> DataFrame:
+        return _concept(self.spark, self._source("part"), self._source("orders"))
+
+    @cached_property
+    def condition_occurrence(self) -> DataFrame:
+        return _conditions(self._source("orders"))
+
+    @cached_property
+    def drug_exposure(self) -> DataFrame:
+        return _exposures(self._source("lineitem"), self._source("orders"))
 
 
 def _person(customer: DataFrame) -> DataFrame:

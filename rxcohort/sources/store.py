@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def read_cdm(spark: SparkSession, store: str, views: bool = False) -> Cdm:
     if views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
-    return Cdm(**tables)
+    return SimpleNamespace(**tables)
 
 
 def core_row_counts(

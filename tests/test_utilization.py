@@ -1,0 +1,88 @@
+from tables import (
+    ACET, ASPIRIN, BOTH, CONCEPTS, IBU, NAMELESS, NAP, OMEP, UNMAPPED, cdm, day, people, rx, values,
+)
+
+from rxcohort.operators import codelists
+from rxcohort.operators import utilization as use
+from rxcohort.schema import TARGET_NAMES
+
+
+def codes(t):
+    return codelists.named(t.concept, TARGET_NAMES)
+
+
+def test_end_defaults_to_start_in_span_only(spark):
+    t = cdm(spark, drugs=[rx(1, IBU, 3), rx(2, IBU, 0, 4), rx(2, NAP, 10), rx(3, ACET, 0, 99)])
+    assert values(use.drug_exposures(t.drug_exposure, codes(t))) == [
+        (1, day(3), day(3)), (2, day(0), day(4)), (2, day(10), day(10)),
+    ]
+    assert values(use.treatment_span(t.drug_exposure, codes(t))) == [(0, 2.5, 5.0, 7.5, 10, 5.0)]
+    assert values(use.rx_span_stats(t.drug_exposure, codes(t))) == [(4, 4.0, 4.0, 4.0, 4, 4.0)]
+
+
+def test_days_supply(spark):
+    t = cdm(spark, drugs=[rx(1, IBU, 0, None, s) for s in (None, 0, 5, 10)] + [rx(1, ACET, 0, None, None)])
+    assert values(use.days_supply_quality(t.drug_exposure, codes(t))) == [(4, 2)]
+    assert values(use.rx_days_supply_stats(t.drug_exposure, codes(t))) == [(5, 6.25, 7.5, 8.75, 10, 7.5)]
+
+
+def test_prescriptions_per_person(spark):
+    t = cdm(spark, drugs=[rx(1, IBU, 0), rx(2, IBU, 0), rx(2, IBU, 0), rx(2, NAP, 7), rx(3, ACET, 0)])
+    assert values(use.rx_per_patient(t.drug_exposure, codes(t))) == [(2.0, 2.0, 3)]
+    assert values(use.utilization(t.drug_exposure, t.concept, TARGET_NAMES)) == [(None, None, 2.0, 2.0)]
+
+
+def test_nobody_exposed(spark):
+    t = cdm(spark, drugs=[rx(1, ACET, 0)])
+    assert values(use.rx_per_patient(t.drug_exposure, codes(t))) == [(None, None, None)]
+    assert values(use.treatment_span(t.drug_exposure, codes(t))) == [(None,) * 6]
+    assert values(use.days_supply_quality(t.drug_exposure, codes(t))) == [(0, 0)]
+    assert values(use.comedication_coverage(t.drug_exposure, t.concept)) == [(0, 0, 0.0)]
+    assert values(use.concomitant_by_id(t.drug_exposure, t.concept)) == []
+    tagged = use.ingredient_exposures(t.drug_exposure, t.concept)
+    assert values(use.switching(tagged)) == [(0, 0, 0.0)]
+    assert values(use.starting_ingredient(tagged)) == []
+
+
+def test_other_drugs_by_id_keep_nameless_ones(spark):
+    drugs = [rx(1, IBU, 0), rx(2, NAP, 0), rx(1, ASPIRIN, 0), rx(2, ASPIRIN, 0), rx(2, ASPIRIN, 1)]
+    drugs += [rx(1, NAMELESS, 0), rx(1, UNMAPPED, 0), rx(3, OMEP, 0), rx(1, 60, 0), rx(1, 61, 0)]
+    t = cdm(spark, drugs=drugs, concept=CONCEPTS + [(60, "statin"), (61, "statin")])
+    by_id = [tuple(r) for r in use.concomitant_by_id(t.drug_exposure, t.concept).collect()]
+    assert by_id == [("aspirin", 2, 100.0), ("statin", 1, 50.0), (None, 1, 50.0)]
+    by_name = [tuple(r) for r in use.concomitant_by_name(t.drug_exposure, t.concept).collect()]
+    assert by_name == [("aspirin", 2), ("statin", 1)]
+    assert len(use.concomitant_by_id(t.drug_exposure, t.concept, n=1).collect()) == 1
+
+
+def test_comedication(spark):
+    t = cdm(spark, drugs=[rx(1, IBU, 0), rx(1, OMEP, 9), rx(2, NAP, 0), rx(3, OMEP, 0)])
+    assert values(use.comedication_coverage(t.drug_exposure, t.concept)) == [(1, 2, 50.0)]
+
+
+def test_switch_window_bounds(spark):
+    drugs = []
+    for person, gap in ((1, 0), (2, 1), (3, 365), (4, 366)):
+        drugs += [rx(person, NAP, 10), rx(person, IBU, 10 + gap)]
+    drugs += [rx(5, IBU, 0), rx(5, IBU, 30)]
+    t = cdm(spark, drugs=drugs)
+    tagged = use.ingredient_exposures(t.drug_exposure, t.concept)
+    assert values(use.switching(tagged)) == [(5, 2, 40.0)]
+    assert values(use.switching(tagged, days=366)) == [(5, 3, 60.0)]
+
+
+def test_both_ingredients_on_the_first_day(spark):
+    t = cdm(spark, drugs=[rx(1, NAP, 3), rx(1, IBU, 3), rx(1, NAP, 9), rx(2, BOTH, 1), rx(3, NAP, None), rx(3, NAP, 8)])
+    tagged = use.ingredient_exposures(t.drug_exposure, t.concept)
+    assert values(use.first_ingredient(tagged)) == [
+        (1, "ibuprofen", day(3)), (2, "ibuprofen", day(1)), (3, "naproxen", day(8)),
+    ]
+    assert values(use.switching(tagged)) == [(3, 1, 100.0 / 3)]
+    assert values(use.starting_ingredient(tagged)) == [("ibuprofen", 2, 200.0 / 3), ("naproxen", 1, 100.0 / 3)]
+
+
+def test_repeats_do_not_change_switching(spark):
+    once = [rx(p, d, s) for p, d, s in ((1, IBU, 0), (1, NAP, 20), (2, IBU, 0), (2, NAP, 900))]
+    for copies in (1, 7):
+        t = cdm(spark, people(1, 2), once * copies)
+        assert values(use.switching(use.ingredient_exposures(t.drug_exposure, t.concept))) == [(2, 1, 50.0)]
