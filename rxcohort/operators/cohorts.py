@@ -32,7 +32,7 @@ def new_user_cohort(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
 def cohort_members(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
     """Persons ever exposed to a code list: person_id."""
     exposed = keep_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
-    return exposed.select("person_id").distinct()
+    return exposed.where(F.col("person_id").isNotNull()).select("person_id").distinct()
 
 
 def cohort_share(cohort: DataFrame, person: DataFrame) -> DataFrame:

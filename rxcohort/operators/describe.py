@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from rxcohort.functions.summary import mean_of, mean_of_known, one_row, percent, quantile_of, value_counts
 from rxcohort.operators.codelists import flagged, named
-from rxcohort.operators.cohorts import START, cohort_share, new_user_cohort
+from rxcohort.operators.cohorts import START, new_user_cohort
 from rxcohort.plans.lookup import keep_codes, local_rows, tag_codes
 from rxcohort.schema import DRUG_PRESETS, OUTCOME_KEYWORDS
 
@@ -128,22 +128,38 @@ def age_histogram(ages: DataFrame, width: int | None = 5, max_bins: int = 30) ->
     """
     counts = value_counts(ages, "age")
     if width is None:
-        span = counts.agg(F.max("age") - F.min("age")).scalar()
+        everyone = Window.partitionBy()  # one row per age
+        span = F.max("age").over(everyone) - F.min("age").over(everyone)
         step = F.lit(100)
         for years in (50, 20, 10, 5, 2, 1):
             step = F.when(span <= F.lit(years * max_bins), F.lit(years)).otherwise(step)
     else:
         step = F.lit(width)
     start = (F.floor(F.col("age") / step) * step).cast("bigint")
-    return counts.groupBy(start.alias("bin_start")).agg(F.sum("n").alias("patients")).orderBy("bin_start")
+    return counts.select(start.alias("bin_start"), "n").groupBy("bin_start").agg(F.sum("n").alias("patients")).orderBy("bin_start")
 
 
 def cohort_metrics(
     drug_exposure: DataFrame, person: DataFrame, concept: DataFrame, keywords: Iterable[str]
 ) -> DataFrame:
-    """Size, share and age of a drug's new users: size, total, pct, mean_age, median_age."""
+    """Size, share and age of a drug's new users: size, total, pct, mean_age, median_age.
+
+    The cohort is built once: members are counted by age, and those without a
+    known age count for the size only.
+    """
     cohort = new_user_cohort(drug_exposure, named(concept, keywords))
-    return one_row(cohort_share(cohort, person), age_summary(cohort, person))
+    cells = (
+        cohort.join(person.select("person_id", "year_of_birth"), "person_id", "left")
+        .groupBy(age_at(F.col("index_date"), F.col("year_of_birth")).alias("age"))
+        .agg(F.count("*").alias("n"))
+    )
+    found = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"), *_age_columns())
+    counts = one_row(found, person.agg(F.count("*").alias("total")))
+    return counts.select("size", "total", percent(F.col("size"), F.col("total")).alias("pct"), "mean_age", "median_age")
+
+
+def _age_columns() -> list[Column]:
+    return [mean_of_known("age").alias("mean_age"), quantile_of("age", 0.5).alias("median_age")]
 
 
 def presets_summary(
@@ -177,11 +193,7 @@ def presets_summary(
         .groupBy("preset", "age")
         .agg(F.count("*").alias("n"))
     )
-    found = cells.groupBy("preset").agg(
-        F.sum("n").alias("size"),
-        mean_of_known("age").alias("mean_age"),
-        quantile_of("age", 0.5).alias("median_age"),
-    )
+    found = cells.groupBy("preset").agg(F.sum("n").alias("size"), *_age_columns())
     listed = local_rows(drug_exposure.sparkSession, "preset string", [(label,) for label in labels])
     total = person.agg(F.count("*")).scalar()
     return (

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rxcohort.functions.summary import one_row, percent, share
 from rxcohort.operators.codelists import codelist_by_ids
-from rxcohort.operators.cohorts import comparator_cohort, new_user_cohort, outcome_cohort
+from rxcohort.operators.cohorts import START, comparator_cohort, outcome_cohort
 from rxcohort.operators.describe import age_at, with_sex
-from rxcohort.plans.lookup import local_rows
+from rxcohort.plans.lookup import keep_codes, local_rows
 from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES, Cdm
 
 # Fixed value: normal quantile used for the risk-ratio interval.
@@ -30,26 +30,25 @@ def crude_safety(
 
     One row: exp_n, exp_ev, r_exp, unexp_n, unexp_ev, r_unexp, rr. A user
     counts if any event, also a recurrent one, is later than the start, that is
-    if the last event is. Users and events are stacked and folded per person,
-    so no set of persons is broadcast or joined row by row.
+    if the last event is. Exposures and events are stacked and folded by person
+    in one aggregation, so no set of persons is broadcast or joined.
     """
-    users = new_user_cohort(drug_exposure, codes).select(
-        "person_id", F.lit(True).alias("exposed"), F.col("index_date")
+    exposures = keep_codes(drug_exposure.select("person_id", "drug_concept_id", START), "drug_concept_id", codes).select(
+        "person_id", F.lit(True).alias("exposed"), F.col(START).cast("date").alias("start_date")
     )
     events = codelist_by_ids(condition_occurrence, "condition_concept_id", ids).select(
-        "person_id", F.lit(True).alias("event"), F.col("condition_start_date").cast("date").alias("event_date")
+        "person_id", F.lit(False).alias("exposed"), F.col("condition_start_date").cast("date").alias("event_date")
     )
     folded = (
-        users.unionByName(events, allowMissingColumns=True)
+        exposures.unionByName(events, allowMissingColumns=True)
         .groupBy("person_id")
         .agg(
             F.bool_or("exposed").alias("exposed"),
-            F.min("index_date").alias("index_date"),
-            F.bool_or("event").alias("event"),
+            F.min("start_date").alias("index_date"),
             F.max("event_date").alias("last_event"),
         )
     )
-    exposed = F.coalesce(F.col("exposed"), F.lit(False))
+    exposed = F.col("exposed")
     after = F.coalesce(F.col("last_event") > F.col("index_date"), F.lit(False))
     counts = one_row(
         folded.agg(
