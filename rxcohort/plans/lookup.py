@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LITERAL_CODES = 1_000
+LITERAL_CODES = 5_000
 BROADCAST_CODES = 500_000
 
 

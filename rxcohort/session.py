@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", name: str = "rxcohort", **conf: str) -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site capture per column call
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rxcohort.plans.lookup import local_rows
 
@@ -75,47 +74,43 @@ class ProxyCdm:
 
 
 def _person(customer: DataFrame) -> DataFrame:
-    even = F.col("c_nationkey") % 2 == 0
-    return customer.select(
-        F.col("c_custkey").alias("person_id"),
-        (F.lit(1940) + (F.col("c_custkey") * 7) % 50).cast("bigint").alias("year_of_birth"),
-        F.when(even, F.lit(FEMALE)).otherwise(F.lit(MALE)).cast("bigint").alias("gender_concept_id"),
+    return customer.selectExpr(
+        "c_custkey AS person_id",
+        "CAST(1940 + c_custkey * 7 % 50 AS BIGINT) AS year_of_birth",
+        f"CAST(IF(c_nationkey % 2 = 0, {FEMALE}, {MALE}) AS BIGINT) AS gender_concept_id",
     )
 
 
-def _condition_id():
-    digit = F.substring("o_orderpriority", 1, 1).cast("bigint")
-    status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
-    return (F.lit(CONDITION_BASE) + digit * 10 + status).cast("bigint")
+CONDITION_ID = f"""CAST(
+    {CONDITION_BASE} + 10 * CAST(substring(o_orderpriority, 1, 1) AS BIGINT)
+    + CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS BIGINT)"""
 
 
 def _concept(spark: SparkSession, part: DataFrame, orders: DataFrame) -> DataFrame:
-    drugs = part.select((F.lit(DRUG_BASE) + F.col("p_partkey")).alias("concept_id"), F.col("p_name").alias("concept_name"))
+    drugs = part.selectExpr(f"{DRUG_BASE} + p_partkey AS concept_id", "p_name AS concept_name")
     conditions = (
         orders.select("o_orderpriority", "o_orderstatus")
         .distinct()
-        .select(_condition_id(), F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
+        .selectExpr(CONDITION_ID, "o_orderpriority || ' ' || o_orderstatus")
     )
     sexes = local_rows(spark, "concept_id bigint, concept_name string", [(FEMALE, "Female"), (MALE, "Male")])
     return drugs.union(conditions).union(sexes)
 
 
 def _conditions(orders: DataFrame) -> DataFrame:
-    return orders.where(F.col("o_orderkey") % 4 == 0).select(
-        F.col("o_custkey").alias("person_id"),
-        _condition_id().alias("condition_concept_id"),
-        F.col("o_orderdate").cast("date").alias("condition_start_date"),
+    return orders.where("o_orderkey % 4 = 0").selectExpr(
+        "o_custkey AS person_id",
+        f"{CONDITION_ID} AS condition_concept_id",
+        "CAST(o_orderdate AS DATE) AS condition_start_date",
     )
 
 
 def _exposures(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    start = F.col("l_shipdate").cast("date")
-    quantity = F.col("l_quantity").cast("int")
-    line = F.col("l_linenumber")
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("person_id"),
-        (F.lit(DRUG_BASE) + F.col("l_partkey")).alias("drug_concept_id"),
-        start.alias("drug_exposure_start_date"),
-        F.when(line != 1, F.date_add(start, quantity)).alias("drug_exposure_end_date"),
-        F.when(line == 3, F.lit(0)).when(line != 2, quantity).cast("bigint").alias("days_supply"),
+    return lineitem.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").selectExpr(
+        "o_custkey AS person_id",
+        f"{DRUG_BASE} + l_partkey AS drug_concept_id",
+        "CAST(l_shipdate AS DATE) AS drug_exposure_start_date",
+        "IF(l_linenumber <> 1, date_add(CAST(l_shipdate AS DATE), CAST(l_quantity AS INT)), NULL)"
+        " AS drug_exposure_end_date",
+        "CAST(CASE l_linenumber WHEN 3 THEN 0 WHEN 2 THEN NULL ELSE l_quantity END AS BIGINT) AS days_supply",
     )

@@ -60,13 +60,10 @@ def core_row_counts(
 ) -> DataFrame:
     """Rows of each core table, NULL if it is absent: table, n."""
     present = {name.lower(): df for name, df in tables.items()}
-    listed = local_rows(spark, "place bigint, table string", [(i, name) for i, name in enumerate(names)])
+    absent = local_rows(spark, "table string, n bigint", [(name, None) for name in names if name.lower() not in present])
     counted = [
         present[name.lower()].agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
         for name in names
         if name.lower() in present
     ]
-    if not counted:
-        return listed.select("table", F.lit(None).cast("bigint").alias("n"))
-    counts = reduce(DataFrame.unionByName, counted)
-    return listed.join(counts, "table", "left").orderBy("place").select("table", "n")
+    return reduce(DataFrame.unionByName, counted, absent)
