@@ -32,7 +32,7 @@ def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame
 
 def fits(df: DataFrame) -> bool:
     """Whether ``df`` was counted to hold no more rows than may be broadcast."""
-    return df.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
+    return df.count() <= BROADCAST_CODES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
