@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from rxcohort.functions.summary import mean_of, mean_of_known, one_row, percent, quantile_of, value_counts
 from rxcohort.operators.codelists import flagged, named
 from rxcohort.operators.cohorts import START, new_user_cohort
-from rxcohort.plans.lookup import keep_codes, local_rows, tag_codes
+from rxcohort.plans.lookup import add_names, keep_codes, local_rows, tag_codes
 from rxcohort.schema import DRUG_PRESETS, OUTCOME_KEYWORDS
 
 
@@ -84,14 +84,9 @@ def age_summary(cohort: DataFrame, person: DataFrame) -> DataFrame:
 
 
 def with_sex(rows: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
-    """Rows with a known ``gender_concept_id``, and its concept_name.
-
-    The dictionary is first cut down to the sex ids in use. So few keys would
-    put all rows into as few partitions if the join were shuffled.
-    """
+    """Rows with a known ``gender_concept_id``, and its concept_name."""
     used = person.select(F.col("gender_concept_id").alias("concept_id")).distinct()
-    names = keep_codes(concept.select("concept_id", "concept_name"), "concept_id", used)
-    return tag_codes(rows, "gender_concept_id", names)
+    return add_names(rows, "gender_concept_id", used, concept)
 
 
 def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:

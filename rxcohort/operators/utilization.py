@@ -84,15 +84,27 @@ def utilization(drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable
     return one_row(days, rx_per_patient(drug_exposure, codes).drop("max_rx"))
 
 
-def _other_drugs(pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
+def _patients_by_name(others: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
     """Members per name of another drug: drug, patients.
 
-    ``pairs`` holds each (person, drug) once, so neither a person with many
-    records nor a drug with many users makes a large group.
+    ``others`` are (person_id, drug_concept_id) rows. Each pair is kept once
+    before members are looked up, so neither a person with many records nor a
+    drug with many users makes a large group.
     """
+    names, small = names_in_use(others, "drug_concept_id", names)
+    if not small:
+        used = others.distinct().join(members, "person_id", "left_semi")
+        by_name = used.join(names.withColumnRenamed("concept_id", "drug_concept_id"), "drug_concept_id")
+        return by_name.groupBy(F.col("concept_name").alias("drug")).agg(
+            F.count_distinct("person_id").alias("patients")
+        )
+    # All ids of one name become its smallest id, so that pairs are made of numbers.
+    lead = F.min("concept_id").over(Window.partitionBy("concept_name"))
+    leads = names.select(F.col("concept_id").alias("drug_concept_id"), lead.alias("concept_id"))
+    pairs = others.join(F.broadcast(leads), "drug_concept_id").select("person_id", "concept_id").distinct()
     used = pairs.join(members, "person_id", "left_semi")
-    by_name = used.join(names.withColumnRenamed("concept_id", "drug_concept_id"), "drug_concept_id")
-    return by_name.groupBy(F.col("concept_name").alias("drug")).agg(F.count_distinct("person_id").alias("patients"))
+    counts = used.groupBy("concept_id").agg(F.count("*").alias("patients"))
+    return counts.join(F.broadcast(names), "concept_id").select(F.col("concept_name").alias("drug"), "patients")
 
 
 def _most_used(drugs: DataFrame, n: int) -> DataFrame:
@@ -105,11 +117,9 @@ def concomitant_by_id(
     """Drugs outside the code list taken by its users: drug, patients, pct of users."""
     codes = named(concept, keywords)
     members = cohort_members(drug_exposure, codes)
-    pairs = drop_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes).distinct()
-    names = names_in_use(drug_exposure, "drug_concept_id", concept.select("concept_id", "concept_name"))
-    size = members.agg(F.count("*")).scalar()
-    drugs = _most_used(_other_drugs(pairs, members, names), n)
-    return drugs.withColumn("pct", percent(F.col("patients"), size))
+    others = drop_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
+    drugs = _most_used(_patients_by_name(others, members, concept.select("concept_id", "concept_name")), n)
+    return drugs.withColumn("pct", percent(F.col("patients"), members.agg(F.count("*")).scalar()))
 
 
 def concomitant_by_name(
@@ -117,9 +127,8 @@ def concomitant_by_name(
 ) -> DataFrame:
     """As ``concomitant_by_id``, excluding by name, so drugs without a name are left out: drug, patients."""
     members = cohort_members(drug_exposure, named(concept, keywords))
-    pairs = drug_exposure.select("person_id", "drug_concept_id").distinct()
-    names = names_in_use(drug_exposure, "drug_concept_id", not_named(concept, keywords))
-    return _most_used(_other_drugs(pairs, members, names), n)
+    taken = drug_exposure.select("person_id", "drug_concept_id")
+    return _most_used(_patients_by_name(taken, members, not_named(concept, keywords)), n)
 
 
 def comedication_coverage(

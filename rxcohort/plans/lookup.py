@@ -39,16 +39,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
-def names_in_use(facts: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """Dictionary rows for the ids in ``facts``, hinted for broadcast if few enough.
+def names_in_use(facts: DataFrame, key: str, names: DataFrame) -> tuple[DataFrame, bool]:
+    """Dictionary rows for the ids in ``facts``, and whether they may be broadcast.
 
     A dictionary too large to broadcast is cut down to the ids that occur,
     which are usually a small part of a vocabulary.
     """
     if fits(names):
-        return F.broadcast(names)
+        return names, True
     used = facts.select(F.col(key).alias("concept_id")).distinct()
-    return broadcast_if_small(names.join(used, "concept_id", "left_semi"))
+    names = names.join(used, "concept_id", "left_semi")
+    return names, fits(names)
 
 
 def _few(codes: DataFrame) -> pa.Table | None:
@@ -94,3 +95,17 @@ def tag_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
         return facts.join(broadcast_if_small(keyed), key)
     listed = facts.sparkSession.createDataFrame(few, keyed.schema)
     return facts.where(_listed(key, few)).join(F.broadcast(listed), key)
+
+
+def add_names(rows: DataFrame, key: str, ids: DataFrame, concept: DataFrame) -> DataFrame:
+    """Inner join that adds concept_name, for a ``key`` that takes the few values in ``ids``.
+
+    A shuffled join on so few keys would put all rows into as few partitions,
+    so the dictionary is cut down to these ids, which bounds what is broadcast.
+    """
+    names = concept.select(F.col("concept_id").alias(key), "concept_name")
+    few = _few(_ids(ids, key))
+    if few is None:
+        return rows.join(broadcast_if_small(names), key)
+    listed = _listed(key, few)
+    return rows.where(listed).join(F.broadcast(names.where(listed)), key)
