@@ -100,7 +100,7 @@ def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> D
         .join(sexes, "person_id", "left")
         .groupBy("gender_concept_id")
         .agg(F.count("*").alias("n"))
-        .withColumn("size", F.sum("n").over(Window.partitionBy()))
+        .withColumn("size", F.sum("n").over(Window.partitionBy()))  # one row per sex id
     )
     by_sex = (
         with_sex(counted, person, concept)

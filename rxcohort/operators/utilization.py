@@ -197,7 +197,7 @@ def starting_ingredient(exposures: DataFrame) -> DataFrame:
         .groupBy(F.col("index_ingredient").alias("ingredient"))
         .agg(F.count("*").alias("patients"))
     )
-    size = F.sum("patients").over(Window.partitionBy())
+    size = F.sum("patients").over(Window.partitionBy())  # one row per ingredient
     return counts.select("ingredient", "patients", percent(F.col("patients"), size).alias("pct")).orderBy(
         F.desc("patients"), F.asc_nulls_last("ingredient")
     )

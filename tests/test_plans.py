@@ -1,5 +1,7 @@
 """Every way of meeting a code list gives the same rows, and plans have the intended shape."""
 
+from contextlib import contextmanager
+
 import pytest
 from tables import values
 
@@ -18,13 +20,24 @@ def sizes(monkeypatch, literal, broadcast):
     monkeypatch.setattr(lookup, "BROADCAST_CODES", broadcast)
 
 
+@contextmanager
+def settings(spark, **conf):
+    conf = {"spark.sql." + key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @pytest.fixture
 def no_small_tables(spark):
     """Estimated sizes never lead to a broadcast, as with large tables."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        yield
 
 
 def plan(df):
@@ -141,3 +154,37 @@ def test_partitioning_does_not_matter(spark):
     before = values(describe.age_summary(cohorts.outcome_cohort(t.condition_occurrence, proxy.OUTCOME), t.person))
     moved = t.condition_occurrence.repartition(13)
     assert values(describe.age_summary(cohorts.outcome_cohort(moved, proxy.OUTCOME), t.person)) == before
+
+
+@pytest.mark.parametrize("meet, n", [(lookup.keep_codes, 300_000), (lookup.tag_codes, 300_000), (lookup.drop_codes, 1_000)])
+def test_hot_code_is_split_in_a_shuffled_join(spark, monkeypatch, no_small_tables, meet, n):
+    """Beyond broadcast size, the partition of a code with nearly all rows is read by several tasks."""
+    sizes(monkeypatch, 0, 0)
+    facts = spark.range(0, 301_000, 1, 8).selectExpr("id AS person_id", "IF(id < 300000, 7, id) AS code")
+    codes = spark.range(50).withColumnRenamed("id", "concept_id")
+    with settings(
+        spark,
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="64KB",
+        adaptive__advisoryPartitionSizeInBytes="64KB",
+        adaptive__coalescePartitions__enabled="false",
+    ):
+        met = meet(facts, "code", codes)
+        assert len(met.collect()) == n
+        assert "skew=true" in plan(met)
+
+
+def test_clustered_store_skips_row_groups(spark, tmp_path):
+    """A code list reads the row groups of its codes only, also when one code is very frequent."""
+    facts = spark.range(0, 200_000, 1, 4).selectExpr(
+        "id AS person_id",
+        "IF(id % 3 = 0, 5, id % 1000) AS drug_concept_id",
+        "DATE '2000-01-01' AS drug_exposure_start_date",
+    )
+    with settings(spark, adaptive__coalescePartitions__enabled="false"):  # as many files as a large table has
+        parquet_store.write_table(facts, str(tmp_path), "drug_exposure")
+    stored = parquet_store.read_table(spark, str(tmp_path), "drug_exposure")
+    hot_files = stored.where("drug_concept_id = 5").selectExpr("input_file_name() AS f").distinct().count()
+    all_files = stored.selectExpr("input_file_name() AS f").distinct().count()
+    assert all_files > 2 and hot_files > 1
+    rare = stored.where("drug_concept_id IN (990, 995)").selectExpr("input_file_name() AS f").distinct().count()
+    assert rare < all_files
