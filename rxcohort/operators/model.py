@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import IllegalArgumentException, UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -19,6 +18,10 @@ from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES, C
 COVARIATES = ("exposed", "age", "female")
 MAX_ITERATIONS = 35
 
+# Partitions of kept cells. A kept plan is not merged at run time, and a few
+# hundred rows should not be read by one task per shuffle partition.
+CELL_PARTITIONS = 16
+
 # Fixed value: normal quantile of the 95 % Wald interval.
 WALD_Z = 1.959963984540054
 
@@ -59,8 +62,8 @@ def _fit(cells: DataFrame) -> tuple:
         if model.summary.numIterations >= MAX_ITERATIONS:
             return NO_ESTIMATE
         se = model.summary.coefficientStandardErrors[0]
-    except (Py4JJavaError, PySparkException):
-        return NO_ESTIMATE
+    except (UnsupportedOperationException, IllegalArgumentException):
+        return NO_ESTIMATE  # collinear or separated covariates; a failed job still fails
     return _exp(beta), _exp(beta - WALD_Z * se), _exp(beta + WALD_Z * se), True
 
 
@@ -84,7 +87,7 @@ def adjusted_odds_ratio(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str
     Where no finite estimate exists the row holds NULLs and ``converged`` is
     false. The model is fitted when this is called.
     """
-    cells = _weighted(rows, weight, arms).persist()
+    cells = _weighted(rows, weight, arms).coalesce(CELL_PARTITIONS).persist()
     try:
         estimate = _fit(cells)
     finally:
@@ -99,7 +102,7 @@ def study_estimates(
 
     The results are a few local rows, so the kept cells are released here.
     """
-    kept = cells.persist()
+    kept = cells.coalesce(CELL_PARTITIONS).persist()
     try:
         risks = group_risks(kept, arms, weight)
         risks = cells.sparkSession.createDataFrame(risks.toArrow(), risks.schema)

@@ -159,6 +159,8 @@ def test_many_patterns_stay_spread_out(spark, monkeypatch):
         lambda r: (r[0], r[1], r[2], int(r[0] == "NSAID"), 0),  # outcome decided by the arm
         lambda r: (r[0], None, r[2], r[3], 0),                  # no age known
         lambda r: (r[0], 30 + 10 * (r[0] == "NSAID"), r[2], r[3], 0),  # age tells the arm
+        lambda r: (r[0], r[1], "FEMALE" if r[0] == "NSAID" else "MALE", r[3], 0),  # so does sex
+        lambda r: (r[0], r[1], r[2], int(r[0] == "NSAID" and r[3]), 0),  # events in one arm only
     ],
 )
 def test_no_finite_estimate(spark, change):
