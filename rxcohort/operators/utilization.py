@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from rxcohort.functions.summary import mean_of, one_row, percent, quantile_of, six_numbers, value_counts
 from rxcohort.operators.codelists import flagged, labelled, named, not_named
 from rxcohort.operators.cohorts import START, cohort_members
-from rxcohort.plans.lookup import drop_codes, keep_codes, names_in_use, tag_codes
+from rxcohort.plans.lookup import drop_codes, keep_codes, names_in_use, resolved, tag_codes
 from rxcohort.schema import COMEDICATION_NAMES, TARGET_NAMES
 
 END = "drug_exposure_end_date"
@@ -77,7 +77,7 @@ def rx_span_stats(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
 
 def utilization(drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str]) -> DataFrame:
     """One record per drug: median_days_supply, mean_days_supply, mean_rx, median_rx."""
-    codes = named(concept, keywords)
+    codes = resolved(named(concept, keywords))
     days = value_counts(_supplied_days(drug_exposure, codes), "days").agg(
         quantile_of("days", 0.5).alias("median_days_supply"), mean_of("days").alias("mean_days_supply")
     )
@@ -115,7 +115,7 @@ def concomitant_by_id(
     drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str] = TARGET_NAMES, n: int = 10
 ) -> DataFrame:
     """Drugs outside the code list taken by its users: drug, patients, pct of users."""
-    codes = named(concept, keywords)
+    codes = resolved(named(concept, keywords))
     members = cohort_members(drug_exposure, codes)
     others = drop_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
     drugs = _most_used(_patients_by_name(others, members, concept.select("concept_id", "concept_name")), n)

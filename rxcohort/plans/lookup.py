@@ -58,6 +58,15 @@ def _few(codes: DataFrame) -> pa.Table | None:
     return rows if rows.num_rows <= LITERAL_CODES else None
 
 
+def resolved(codes: DataFrame) -> DataFrame:
+    """A short code list as local rows, so that several uses search the dictionary once.
+
+    A long list is returned as it is.
+    """
+    few = _few(codes)
+    return codes if few is None else codes.sparkSession.createDataFrame(few, codes.schema)
+
+
 def _listed(key: str, few: pa.Table) -> Column:
     """``key IN (...)``, written as text: a column call per id takes longer than the scan it saves."""
     ids = few[key].to_pylist()

@@ -79,6 +79,14 @@ def test_way_follows_the_counted_size(spark, monkeypatch, no_small_tables):
                 assert expected in shape
 
 
+def test_resolved_list_is_not_searched_again(spark, monkeypatch):
+    codes = codelists.named(proxy.ProxyCdm(spark, SMALL).concept, proxy.TARGET)
+    held = lookup.resolved(codes)
+    assert "FileScan" not in plan(held) and held.schema == codes.schema and values(held) == values(codes)
+    sizes(monkeypatch, 1, 1)
+    assert lookup.resolved(codes) is codes
+
+
 def test_null_codes_and_keys(spark, monkeypatch):
     facts = spark.createDataFrame([(1,), (2,), (None,)], "code bigint")
     codes = spark.createDataFrame([(1,), (None,)], "concept_id bigint")
