@@ -49,9 +49,10 @@ def held(key: object, build: Callable[[], object]) -> object:
     return store[key]
 
 
-def in_slices(batches: Iterator, rows: int = 500) -> Iterator:
+def in_slices(batches: Iterator, most: int = 500, octets: int = 8 << 20) -> Iterator:
     """Arrow batches cut into slices, so long texts don't pile up as Python objects."""
     for batch in batches:
+        rows = max(1, min(most, octets * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 

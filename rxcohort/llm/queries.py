@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import packing, pii, secrets, simhash, toxicity
+from rxcohort.llm import embeddings, packing, pii, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op3_secret_ownership,
             op4_toxicity,
+            op5_embedding_near_dedup,
             op6_pii,
             op7_best_fit_packing,
             op8_simhash_near_dedup,
