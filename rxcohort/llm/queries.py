@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import embeddings, packing, pii, secrets, simhash, toxicity
+from rxcohort.llm import embeddings, mixing, packing, pii, secrets, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Target weights of op1, by quality and toxicity of the labelled table.
+MIX = {"q1_t0": 0.80, "q0_t0": 0.12, "q1_t1": 0.06, "q0_t1": 0.02}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    domain = F.concat(F.lit("q"), F.col("quality"), F.lit("_t"), F.col("toxic"))
+    return mixing.mix(docs, labels, domain, MIX)
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is taken for an owner, and its documents in one language for a repository."""
     docs = table(spark, sf_dir, "documents")
@@ -40,16 +50,22 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_mixing,
             op3_secret_ownership,
             op4_toxicity,
             op5_embedding_near_dedup,
             op6_pii,
             op7_best_fit_packing,
             op8_simhash_near_dedup,
+            op10_token_counts,
         )
     }
 
