@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import embeddings, mixing, packing, pii, secrets, simhash, token_counts, toxicity
+from rxcohort.llm import embeddings, mixing, packing, pii, secrets, simhash, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels, domain, MIX)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is taken for an owner, and its documents in one language for a repository."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +63,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_mixing,
+            op2_substring_dedup,
             op3_secret_ownership,
             op4_toxicity,
             op5_embedding_near_dedup,
