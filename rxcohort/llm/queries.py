@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import embeddings, mixing, packing, pii, secrets, simhash, substrings, token_counts, toxicity
+from rxcohort.llm import embeddings, mixing, packing, pii, search, secrets, simhash, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the whole texts of all documents whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(search.every_twentieth(F.col("doc_id"))).withColumnRenamed("doc_id", "query_id")
+    return search.top_k(docs, queries, k=10)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_pii,
             op7_best_fit_packing,
             op8_simhash_near_dedup,
+            op9_bm25_top_k,
             op10_token_counts,
         )
     }
