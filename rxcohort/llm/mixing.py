@@ -144,8 +144,10 @@ def fit_rates(
     ``table`` has n_tokens and posterior. ``shares`` are target weights; a
     domain that is absent gets none and the others share its weight. Without
     ``tokens`` the total is the smallest for which no present domain has to
-    shrink. Errors are measured in shares of each domain's target, and steps
-    in tokens of a document, so that long documents don't change faster.
+    shrink. Errors are weighted by one over a domain's tokens, and steps are
+    measured in tokens of a document, so that neither small domains nor short
+    documents lag behind. It ends when no domain is off by more than ``close``
+    of all tokens.
     """
     width = len(shares)
     now = _sums(table, Rates([]), width, False)
@@ -157,29 +159,29 @@ def fit_rates(
     if tokens is None:
         tokens = max(now[d] / wanted[d] for d in range(width) if wanted[d] > 0)
     target = wanted * tokens
-    scale = 1 / np.maximum(np.where(wanted > 0, target, now), 1.0)
+    scale = 1 / np.maximum(now, 1.0)
     gram = _sums(table, Rates([]), width, True)
     curvature = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None]).max()
     steps: list[np.ndarray] = []
     for _ in range(rounds):
         miss = now - target
-        if np.abs(miss * scale).max() <= close:
+        if np.abs(miss).max() <= close * target.sum():
             break
         steps.append(miss * scale / curvature)
         now = _sums(table, Rates(steps, least), width, False)
     return Rates(steps, least), now, target
 
 
-def _rate(rates: Rates, posterior: str, width: int, df: DataFrame) -> DataFrame:
-    """``df`` with ``rate``."""
+def _rate(rates: Rates, posterior: str, width: int, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with its rate in column ``name``."""
     names, at = df.columns, df.columns.index(posterior)
 
     def rows(batches: Iterator) -> Iterator:
         for batch in batches:
             rate = rates.of(_matrix(batch.column(at), width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*names, name])
 
-    return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField("rate", T.DoubleType())]))
+    return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -210,7 +212,7 @@ def mix(
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     table = kept(with_posteriors(chosen, model, "text", "n_tokens", "posterior").drop("text"), "posteriors")
     rates, _, _ = fit_rates(table, np.array([targets[d] for d in domains], float), tokens)
-    return _rate(rates, "posterior", len(domains), table).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return _rate(rates, "posterior", len(domains), table, "rate").withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mixed(
@@ -232,7 +234,7 @@ def mixed(
     table = kept(with_posteriors(slim, model, "text", "n_tokens", "posterior").drop("text"), "posteriors")
     rates, _, _ = fit_rates(table, np.array([targets[d] for d in domains], float), least=least)
     scored = with_posteriors(docs, model, text, "_tokens", "_posterior").drop("_tokens")
-    rated = _rate(rates, "_posterior", len(domains), scored)
-    times = copies(F.col("rate"), F.col(doc_id))
+    rated = _rate(rates, "_posterior", len(domains), scored, "_rate")
+    times = copies(F.col("_rate"), F.col(doc_id))
     repeated = rated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
     return repeated.drop("_copy")

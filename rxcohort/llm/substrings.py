@@ -303,7 +303,7 @@ def _removed(window: int):
             cols = [batch.column(i).to_pylist() for i in range(5)]
             removed, digests, spans = [], [], []
             for _, _, sha, body, keys in zip(*cols):
-                if not keys:
+                if not keys or body is None:  # of several rows with an id, some may have nothing to look at
                     removed.append(0), digests.append(sha), spans.append("")
                     continue
                 words = words_of(zstandard.decompress(body).decode())

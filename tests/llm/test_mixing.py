@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+from llm.tables import EDGES, docs
+from pyspark.sql import functions as F
+
+from rxcohort.llm import mixing
+
+SF = "/root/testdata/sf0.01"
+
+
+def expected(rows):
+    p = np.array([r.posterior for r in rows])
+    return (p * np.array([r.n_tokens * r.rate for r in rows])[:, None]).sum(0)
+
+
+def plain_rates(p, n, target, rounds):
+    """Projected gradient over an array of all documents."""
+    scale = 1 / (n @ p)
+    gram = (p * n[:, None]).T @ p
+    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max()
+    rate = np.ones(len(p))
+    for _ in range(rounds):
+        rate = np.maximum(0, rate - p @ (step * scale * ((n * rate) @ p - target)))
+    return rate
+
+
+@pytest.mark.parametrize("targets", [{"0": 0.1, "1": 0.9}, {"0": 0.5, "1": 0.5}])
+def test_expected_tokens_meet_the_targets(spark, targets):
+    table, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    rows = mixing.mix(table, labels, F.col("quality").cast("string"), targets).collect()
+    got = expected(rows)
+    assert np.allclose(got / got.sum(), list(targets.values()), atol=1e-3)
+    assert all(r.rate >= 0 for r in rows)
+    copied = sum(r.copies * r.n_tokens for r in rows)
+    assert abs(copied / sum(r.rate * r.n_tokens for r in rows) - 1) < 0.1
+
+
+def test_a_given_total_and_the_plain_version(spark):
+    pick = np.random.default_rng(2)
+    p = pick.dirichlet([0.3, 0.3, 0.3], 300)
+    n = pick.integers(0, 500, 300)
+    table = spark.createDataFrame(list(zip(n.tolist(), p.tolist())), "n_tokens long, posterior array<double>")
+    rates, now, target = mixing.fit_rates(table, np.array([0.7, 0.2, 0.1]), tokens=30_000.0, rounds=200)
+    assert np.allclose(now, target, rtol=1e-3) and np.allclose(target, [21_000, 6_000, 3_000])
+    assert np.allclose(rates.of(p), plain_rates(p, n, target, len(rates.steps)))
+
+
+def test_no_document_is_lost_with_a_least_rate(spark):
+    table, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    out = mixing.mixed(table, labels, F.col("quality").cast("string"), {"0": 0.5, "1": 0.5}, least=1.0)
+    assert out.columns == table.columns
+    assert out.select("doc_id").distinct().count() == table.count() < out.count()
+
+
+def test_edges(spark):
+    labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (5, None), (4, 1)], "doc_id long, quality int")
+    domain, targets = F.col("quality").cast("string"), {"1": 0.5, "0": 0.5}
+    rows = mixing.mix(docs(spark, EDGES), labels, domain, targets).collect()
+    assert len(rows) == len(EDGES) and all(np.isfinite(r.rate) for r in rows)
+    assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {0}
+    none = labels.limit(0)
+    assert {round(r.rate, 3) for r in mixing.mix(docs(spark, EDGES), none, domain, targets).collect()} == {1.0}
+    assert mixing.mix(docs(spark, []), labels, domain, targets).collect() == []
+    assert mixing.mixed(docs(spark, []), labels, domain, targets).collect() == []
