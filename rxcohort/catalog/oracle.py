@@ -21,7 +21,7 @@ coded_orders AS (
 ),
 condition_occurrence AS (
   SELECT o_custkey AS person_id, code AS condition_concept_id, CAST(o_orderdate AS DATE) AS condition_start_date
-  FROM coded_orders WHERE o_orderkey % 4 = 0
+  FROM coded_orders
 ),
 drug_exposure AS (
   SELECT o_custkey AS person_id,
@@ -307,6 +307,12 @@ SELECT count(*) AS n_total, count(*) FILTER (ifnull(days_supply, 0) = 0) AS n_mi
             _co_drugs(NOT_BY_ID, f", {_pct('count(DISTINCT person_id)', USERS)} AS pct"), DRUGS
         ),
         "concomitant_by_name": _sql(_co_drugs(NOT_BY_NAME), DRUGS),
+        "concomitant_in_window": _sql(f"""
+SELECT drug, count(DISTINCT person_id) AS patients, {_pct('count(DISTINCT person_id)', USERS)} AS pct
+FROM named_rx JOIN new_users USING (person_id)
+WHERE {NOT_BY_ID} AND drug_exposure_start_date - index_date BETWEEN 0 AND 90
+GROUP BY drug ORDER BY patients DESC, drug LIMIT 10
+""", DRUGS),
         "comedication_coverage": _sql(f"""
 , covered AS (
   SELECT count(DISTINCT person_id) AS n FROM named_rx SEMI JOIN new_users USING (person_id)

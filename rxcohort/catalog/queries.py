@@ -88,6 +88,7 @@ ON_TABLES: dict[str, Callable[[Cdm], DataFrame]] = {
     "rx_span_stats": lambda t: use.rx_span_stats(t.drug_exposure, _targets(t)),
     "concomitant_by_id": lambda t: use.concomitant_by_id(t.drug_exposure, t.concept, proxy.TARGET),
     "concomitant_by_name": lambda t: use.concomitant_by_name(t.drug_exposure, t.concept, proxy.TARGET),
+    "concomitant_in_window": lambda t: use.concomitant_by_id(t.drug_exposure, t.concept, proxy.TARGET, days=90),
     "comedication_coverage": lambda t: use.comedication_coverage(
         t.drug_exposure, t.concept, proxy.TARGET, proxy.COMEDICATION
     ),

@@ -1,4 +1,8 @@
-"""Cohorts: one row per person with an index date."""
+"""Cohorts: one row per person with an index date.
+
+Rows without a person id belong to nobody: they count as records, but make no
+member of a cohort, no event of a person and no one's exposure.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +16,14 @@ from rxcohort.operators.codelists import codelist_by_ids, flagged
 from rxcohort.plans.lookup import keep_codes, tag_codes
 from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES
 
+HAS_PERSON = "person_id IS NOT NULL"
 START = "drug_exposure_start_date"
 
 
 def outcome_cohort(condition_occurrence: DataFrame, ids: Sequence[int] = OUTCOME_IDS) -> DataFrame:
     """First date of any of the given conditions per person: person_id, index_date."""
     events = codelist_by_ids(condition_occurrence, "condition_concept_id", ids)
-    return events.groupBy("person_id").agg(
+    return events.where(HAS_PERSON).groupBy("person_id").agg(
         F.min(F.col("condition_start_date").cast("date")).alias("index_date")
     )
 
@@ -26,13 +31,13 @@ def outcome_cohort(condition_occurrence: DataFrame, ids: Sequence[int] = OUTCOME
 def new_user_cohort(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
     """First exposure to a code list per person: person_id, index_date."""
     exposed = keep_codes(drug_exposure.select("person_id", "drug_concept_id", START), "drug_concept_id", codes)
-    return exposed.groupBy("person_id").agg(F.min(F.col(START).cast("date")).alias("index_date"))
+    return exposed.where(HAS_PERSON).groupBy("person_id").agg(F.min(F.col(START).cast("date")).alias("index_date"))
 
 
 def cohort_members(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
     """Persons ever exposed to a code list: person_id."""
     exposed = keep_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
-    return exposed.where(F.col("person_id").isNotNull()).select("person_id").distinct()
+    return exposed.where(HAS_PERSON).select("person_id").distinct()
 
 
 def cohort_share(cohort: DataFrame, person: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def comparator_cohort(
     lists = flagged(concept, {"in_target": target, "in_comparator": comparator})
     exposed = tag_codes(drug_exposure.select("person_id", "drug_concept_id", START), "drug_concept_id", lists)
     start = F.col(START).cast("date")
-    per_person = exposed.groupBy("person_id").agg(
+    per_person = exposed.where(HAS_PERSON).groupBy("person_id").agg(
         F.bool_or("in_target").alias("took_target"),
         F.min(F.when(F.col("in_target"), start)).alias("target_date"),
         F.min(F.when(F.col("in_comparator"), start)).alias("comparator_date"),

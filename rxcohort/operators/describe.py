@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from rxcohort.functions.summary import mean_of, mean_of_known, one_row, percent, quantile_of, value_counts
 from rxcohort.operators.codelists import flagged, named
 from rxcohort.operators.cohorts import START, new_user_cohort
-from rxcohort.plans.lookup import add_names, keep_codes, local_rows, tag_codes
+from rxcohort.plans.lookup import add_names, keep_codes, local_rows, resolved, tag_codes
 from rxcohort.schema import DRUG_PRESETS, OUTCOME_KEYWORDS
 
 
@@ -49,7 +49,7 @@ def keyword_conditions(
     condition_occurrence: DataFrame, concept: DataFrame, keywords: Iterable[str] = OUTCOME_KEYWORDS
 ) -> DataFrame:
     """Conditions whose name contains any keyword, by patients: condition_name, concept_id, patients."""
-    found = named(concept, keywords)
+    found = resolved(named(concept, keywords))
     facts = keep_codes(condition_occurrence, "condition_concept_id", found)
     rows = _per_concept(facts, "condition_concept_id", found, "condition_name")
     return _ranked(rows.drop("records"), "concept_id")
@@ -57,7 +57,7 @@ def keyword_conditions(
 
 def codelist_products(drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str]) -> DataFrame:
     """Products inside a drug code list, by patients: concept_name, drug_concept_id, patients."""
-    found = named(concept, keywords)
+    found = resolved(named(concept, keywords))
     facts = keep_codes(drug_exposure, "drug_concept_id", found)
     rows = _per_concept(facts, "drug_concept_id", found, "concept_name")
     return _ranked(rows, "concept_id").select(

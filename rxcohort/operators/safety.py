@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rxcohort.functions.summary import one_row, percent, share
 from rxcohort.operators.codelists import codelist_by_ids
-from rxcohort.operators.cohorts import START, comparator_cohort, outcome_cohort
+from rxcohort.operators.cohorts import HAS_PERSON, START, comparator_cohort, outcome_cohort
 from rxcohort.operators.describe import age_at, with_sex
 from rxcohort.plans.lookup import keep_codes, local_rows
 from rxcohort.schema import ARMS, COMPARATOR_NAMES, OUTCOME_IDS, TARGET_NAMES, Cdm
@@ -41,6 +41,7 @@ def crude_safety(
     )
     folded = (
         exposures.unionByName(events, allowMissingColumns=True)
+        .where(HAS_PERSON)
         .groupBy("person_id")
         .agg(
             F.bool_or("exposed").alias("exposed"),

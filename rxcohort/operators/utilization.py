@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rxcohort.functions.summary import mean_of, one_row, percent, quantile_of, six_numbers, value_counts
-from rxcohort.operators.codelists import flagged, labelled, named, not_named
-from rxcohort.operators.cohorts import START, cohort_members
-from rxcohort.plans.lookup import drop_codes, keep_codes, names_in_use, resolved, tag_codes
+from rxcohort.functions.text import contains_any
+from rxcohort.operators.codelists import flagged, labelled, named
+from rxcohort.operators.cohorts import HAS_PERSON, START
+from rxcohort.plans.lookup import broadcast_if_small, keep_codes, resolved, tag_codes
 from rxcohort.schema import COMEDICATION_NAMES, TARGET_NAMES
 
 END = "drug_exposure_end_date"
@@ -30,7 +31,7 @@ def drug_exposures(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
 def _rx_counts(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
     """Persons per number of prescriptions: n_rx, n."""
     rows = keep_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
-    return value_counts(rows.groupBy("person_id").agg(F.count("*").alias("n_rx")), "n_rx")
+    return value_counts(rows.where(HAS_PERSON).groupBy("person_id").agg(F.count("*").alias("n_rx")), "n_rx")
 
 
 def rx_per_patient(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
@@ -44,6 +45,7 @@ def treatment_span(drug_exposure: DataFrame, codes: DataFrame) -> DataFrame:
     """Days from a person's first start to last end: min, p25, median, p75, max, mean."""
     spans = (
         drug_exposures(drug_exposure, codes)
+        .where(HAS_PERSON)
         .groupBy("person_id")
         .agg(F.datediff(F.max("end_date"), F.min("start_date")).cast("bigint").alias("span"))
     )
@@ -84,51 +86,87 @@ def utilization(drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable
     return one_row(days, rx_per_patient(drug_exposure, codes).drop("max_rx"))
 
 
-def _patients_by_name(others: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
-    """Members per name of another drug: drug, patients.
+def _marked(concept: DataFrame, keywords: Iterable[str]) -> DataFrame:
+    """The dictionary as what a person may have taken: drug_concept_id, taken (target, lead).
 
-    ``others`` are (person_id, drug_concept_id) rows. Each pair is kept once
-    before members are looked up, so neither a person with many records nor a
-    drug with many users makes a large group.
+    Ids of one name share its smallest id as lead; drugs without a name share
+    a NULL lead. Target ids are told apart by name.
     """
-    names, small = names_in_use(others, "drug_concept_id", names)
-    if not small:
-        used = others.distinct().join(members, "person_id", "left_semi")
-        by_name = used.join(names.withColumnRenamed("concept_id", "drug_concept_id"), "drug_concept_id")
-        return by_name.groupBy(F.col("concept_name").alias("drug")).agg(
-            F.count_distinct("person_id").alias("patients")
-        )
-    # All ids of one name become its smallest id, so that pairs are made of numbers.
-    lead = F.min("concept_id").over(Window.partitionBy("concept_name"))
-    leads = names.select(F.col("concept_id").alias("drug_concept_id"), lead.alias("concept_id"))
-    pairs = others.join(F.broadcast(leads), "drug_concept_id").select("person_id", "concept_id").distinct()
-    used = pairs.join(members, "person_id", "left_semi")
-    counts = used.groupBy("concept_id").agg(F.count("*").alias("patients"))
-    return counts.join(F.broadcast(names), "concept_id").select(F.col("concept_name").alias("drug"), "patients")
+    unnamed = F.when(F.col("concept_name").isNull(), F.col("concept_id"))
+    lead = F.min("concept_id").over(Window.partitionBy("concept_name", unnamed))
+    target = F.coalesce(contains_any(F.col("concept_name"), keywords), F.lit(False))
+    lead = F.when(F.col("concept_name").isNotNull() & ~target, lead)
+    return concept.select(
+        F.col("concept_id").alias("drug_concept_id"), F.struct(target.alias("target"), lead.alias("lead")).alias("taken")
+    )
 
 
-def _most_used(drugs: DataFrame, n: int) -> DataFrame:
-    return drugs.orderBy(F.desc("patients"), F.asc_nulls_last("drug")).limit(n)
+def _co_drugs(
+    drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str], n: int, days: int | None, unnamed: bool
+) -> DataFrame:
+    """Most used other drugs of a target's users: drug, patients, size (the number of users).
+
+    The exposures are read once: each row becomes what it is to the question
+    (the target, or another drug's lead id), each person a set of these, at
+    most the dictionary, combined before the shuffle. Persons without the
+    target go before anything is moved again, and the cohort size is counted
+    from the same rows.
+    """
+    concept = concept.select("concept_id", "concept_name")
+    marked = broadcast_if_small(_marked(concept, keywords))
+    rows = drug_exposure.where(HAS_PERSON).select("person_id", "drug_concept_id", F.col(START).cast("date").alias("day"))
+    taken = rows.join(marked, "drug_concept_id")
+    if days is None:
+        users = taken.groupBy("person_id").agg(F.bool_or("taken.target").alias("user"), F.collect_set("taken").alias("all"))
+    else:
+        dated = F.struct("taken.target", "taken.lead", "day")
+        first = F.min(F.when(F.col("taken.target"), F.col("day")))
+        per_person = taken.groupBy("person_id").agg(
+            F.bool_or("taken.target").alias("user"), first.alias("first"), F.collect_set(dated).alias("dated")
+        )
+        near = F.filter("dated", lambda t: (t["day"] >= F.col("first")) & (t["day"] <= F.date_add("first", days)))
+        undated = F.transform(near, lambda t: F.struct(t["target"].alias("target"), t["lead"].alias("lead")))
+        itself = F.array(F.struct(F.lit(True).alias("target"), F.lit(None).cast("bigint").alias("lead")))
+        users = per_person.select("person_id", "user", F.array_distinct(F.concat(undated, itself)).alias("all"))
+    counts = (
+        users.where("user").select(F.explode("all").alias("taken")).groupBy("taken").agg(F.count("*").alias("patients"))
+    )
+    counts = counts.select("taken.target", "taken.lead", "patients")
+    if not unnamed:
+        counts = counts.where("target OR lead IS NOT NULL")
+    leads = counts.join(concept.select(F.col("concept_id").alias("lead"), F.col("concept_name").alias("drug")), "lead", "left")
+    # The target's own row counts all users, so it comes first and tells the size.
+    top = leads.orderBy(F.desc("target"), F.desc("patients"), F.asc_nulls_last("drug")).limit(n + 1)
+    size = F.max(F.when(F.col("target"), F.col("patients"))).over(Window.partitionBy())  # n + 1 rows
+    found = top.withColumn("size", size).where("NOT target").select("drug", "patients", "size")
+    return found.orderBy(F.desc("patients"), F.asc_nulls_last("drug"))
 
 
 def concomitant_by_id(
-    drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str] = TARGET_NAMES, n: int = 10
+    drug_exposure: DataFrame,
+    concept: DataFrame,
+    keywords: Iterable[str] = TARGET_NAMES,
+    n: int = 10,
+    days: int | None = None,
 ) -> DataFrame:
-    """Drugs outside the code list taken by its users: drug, patients, pct of users."""
-    codes = resolved(named(concept, keywords))
-    members = cohort_members(drug_exposure, codes)
-    others = drop_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
-    drugs = _most_used(_patients_by_name(others, members, concept.select("concept_id", "concept_name")), n)
-    return drugs.withColumn("pct", percent(F.col("patients"), members.agg(F.count("*")).scalar()))
+    """Drugs outside the code list taken by its users: drug, patients, pct of users.
+
+    At any time, or with ``days`` only if begun from the first day on the code
+    list to that many days later.
+    """
+    drugs = _co_drugs(drug_exposure, concept, keywords, n, days, unnamed=True)
+    return drugs.select("drug", "patients", percent(F.col("patients"), F.col("size")).alias("pct"))
 
 
 def concomitant_by_name(
-    drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str] = TARGET_NAMES, n: int = 10
+    drug_exposure: DataFrame,
+    concept: DataFrame,
+    keywords: Iterable[str] = TARGET_NAMES,
+    n: int = 10,
+    days: int | None = None,
 ) -> DataFrame:
     """As ``concomitant_by_id``, excluding by name, so drugs without a name are left out: drug, patients."""
-    members = cohort_members(drug_exposure, named(concept, keywords))
-    taken = drug_exposure.select("person_id", "drug_concept_id")
-    return _most_used(_patients_by_name(taken, members, not_named(concept, keywords)), n)
+    return _co_drugs(drug_exposure, concept, keywords, n, days, unnamed=False).select("drug", "patients")
 
 
 def comedication_coverage(
@@ -140,7 +178,7 @@ def comedication_coverage(
     """Users of a drug who also took a drug class: n, size, pct."""
     codes = flagged(concept, {"in_target": keywords, "in_class": comedication})
     taken = tag_codes(drug_exposure.select("person_id", "drug_concept_id"), "drug_concept_id", codes)
-    persons = taken.groupBy("person_id").agg(
+    persons = taken.where(HAS_PERSON).groupBy("person_id").agg(
         F.bool_or("in_target").alias("user"), F.bool_or("in_class").alias("covered")
     )
     users = persons.where("user").agg(F.count_if("covered").alias("n"), F.count("*").alias("size"))
@@ -163,7 +201,7 @@ def _start(start_date: str = "start_date", ingredient: str = "ingredient"):
 
 def first_ingredient(exposures: DataFrame) -> DataFrame:
     """Starting ingredient and date per person: person_id, index_ingredient, index_date."""
-    starts = exposures.groupBy("person_id").agg(_start().alias("start"))
+    starts = exposures.where(HAS_PERSON).groupBy("person_id").agg(_start().alias("start"))
     return starts.select(
         "person_id", F.col("start.ingredient").alias("index_ingredient"), F.col("start.start_date").alias("index_date")
     )
@@ -176,7 +214,7 @@ def switching(exposures: DataFrame, days: int = 365) -> DataFrame:
     most one row per ingredient and day; the exposures are not joined to
     themselves.
     """
-    dated = exposures.select("person_id", "ingredient", "start_date").distinct()
+    dated = exposures.where(HAS_PERSON).select("person_id", "ingredient", "start_date").distinct()
     first = _start().over(Window.partitionBy("person_id"))
     moved = (
         (F.col("ingredient") != F.col("first.ingredient"))

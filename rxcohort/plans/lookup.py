@@ -4,8 +4,9 @@ A code list may hold two ids or most of a vocabulary, and its keys may be
 heavily skewed in the facts. Three ways are used, chosen by counting the list
 before the facts are touched:
 
-* up to ``LITERAL_CODES`` ids: the ids become an ``IN`` predicate, which the
-  Parquet scan uses to skip row groups; the facts are not shuffled;
+* up to ``LITERAL_CODES`` ids: the ids become an ``IN`` predicate with the
+  ranges they lie in, which the Parquet scan uses to skip row groups and
+  pages; the facts are not shuffled;
 * up to ``BROADCAST_CODES`` rows: broadcast join; the facts are not shuffled;
 * beyond: an ordinary shuffled join. Adaptive execution splits the partition
   of a hot id; nothing is dropped or capped.
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 LITERAL_CODES = 5_000
 BROADCAST_CODES = 500_000
+BROADCAST_BYTES = 256 << 20  # of names and ids, before encoding
+PUSHED_IN = 10  # values of an IN that row groups are checked against one by one
+RANGES = 256
 
 
 def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -31,27 +35,19 @@ def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame
 
 
 def fits(df: DataFrame) -> bool:
-    """Whether ``df`` was counted to hold no more rows than may be broadcast."""
-    return df.count() <= BROADCAST_CODES
+    """Whether ``df`` was measured to hold no more rows and bytes than may be broadcast."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = F.lit(16 * len(df.columns))
+    for part in text:
+        size = size + part
+    rows, octets = df.agg(F.count("*"), F.sum(size.cast("bigint"))).first()
+    return rows <= BROADCAST_CODES and (octets or 0) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
-def names_in_use(facts: DataFrame, key: str, names: DataFrame) -> tuple[DataFrame, bool]:
-    """Dictionary rows for the ids in ``facts``, and whether they may be broadcast.
-
-    A dictionary too large to broadcast is cut down to the ids that occur,
-    which are usually a small part of a vocabulary.
-    """
-    if fits(names):
-        return names, True
-    used = facts.select(F.col(key).alias("concept_id")).distinct()
-    names = names.join(used, "concept_id", "left_semi")
-    return names, fits(names)
-
-
 def _few(codes: DataFrame) -> pa.Table | None:
     """All rows of a short list, or None for a list of more than ``LITERAL_CODES`` rows."""
     rows = codes.limit(LITERAL_CODES + 1).toArrow()
@@ -67,10 +63,37 @@ def resolved(codes: DataFrame) -> DataFrame:
     return codes if few is None else codes.sparkSession.createDataFrame(few, codes.schema)
 
 
+def _ranges(ids: list[int]) -> list[tuple[int, int]]:
+    """At most ``RANGES`` ranges that hold all ids, parted at their widest gaps."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[lo], ids[hi - 1]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _any(tests: list[str]) -> str:
+    """OR of all tests, nested evenly so that no expression grows deep."""
+    if len(tests) == 1:
+        return tests[0]
+    half = len(tests) // 2
+    return f"({_any(tests[:half])} OR {_any(tests[half:])})"
+
+
 def _listed(key: str, few: pa.Table) -> Column:
-    """``key IN (...)``, written as text: a column call per id takes longer than the scan it saves."""
+    """``key IN (...)``, written as text: a column call per id takes longer than the scan it saves.
+
+    The Parquet reader checks an ``IN`` of more than ten values against row
+    groups only by its smallest and largest one, so a longer list is preceded
+    by the ranges its ids lie in, which are checked one by one.
+    """
     ids = few[key].to_pylist()
-    return F.expr(f"`{key}` IN ({', '.join(map(str, ids))})") if ids else F.lit(False)
+    if not ids:
+        return F.lit(False)
+    exact = f"`{key}` IN ({', '.join(map(str, ids))})"
+    if len(ids) <= PUSHED_IN:
+        return F.expr(exact)
+    within = _any([f"(`{key}` >= {lo} AND `{key}` <= {hi})" for lo, hi in _ranges(ids)])
+    return F.expr(f"{within} AND {exact}")
 
 
 def _ids(codes: DataFrame, key: str) -> DataFrame:

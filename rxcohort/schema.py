@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The clinical tables whose row counts are reported after a load.
@@ -75,10 +75,11 @@ class Cdm(Protocol):
 
 
 def declared(df: DataFrame, table: str) -> DataFrame:
-    """Cast the declared columns of ``table`` by name and drop rows without a key.
+    """Cast the declared columns of ``table`` by name; no row is dropped.
 
-    A missing declared column fails here; a value that does not fit its type
-    fails when the rows are read, because casts are strict.
+    A missing declared column fails here. A value that does not fit its type
+    (``1.9`` for an id, ``true`` for days) fails when the rows are read,
+    whatever the session's ANSI setting.
     """
     types = COLUMN_TYPES.get(table.lower())
     if types is None:
@@ -88,9 +89,16 @@ def declared(df: DataFrame, table: str) -> DataFrame:
     if missing:
         raise ValueError(f"{table}: missing columns {', '.join(missing)}")
     named = {by_name[c]: c for c in types}
-    typed = [
-        F.col(f"`{c}`").cast(types[named[c]]).alias(named[c]) if c in named else F.col(f"`{c}`")
-        for c in df.columns
-    ]
-    key = next(iter(types))
-    return df.select(*typed).where(F.col(key).isNotNull())
+    return df.select(
+        *[
+            _strict(F.col(f"`{c}`"), types[named[c]], named[c]).alias(named[c]) if c in named else F.col(f"`{c}`")
+            for c in df.columns
+        ]
+    )
+
+
+def _strict(value: Column, kind: str, name: str) -> Column:
+    """``value`` as ``kind``, or an error that names the column and the value."""
+    typed = value.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"{name}: not a {kind}: "), value.cast("string")))
+    return F.when(value.isNotNull() & typed.isNull(), wrong).otherwise(typed)

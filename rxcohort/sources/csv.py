@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxcohort.plans.lookup import local_rows
-from rxcohort.schema import declared
-from rxcohort.sources.store import has_table, write_table
+from rxcohort.schema import COLUMN_TYPES, declared
+from rxcohort.sources.store import write_table
 
 STATUS_SCHEMA = "table string, path string, loaded boolean, error string"
 
@@ -18,8 +20,13 @@ STATUS_SCHEMA = "table string, path string, loaded boolean, error string"
 SEPARATORS = (",", "\t", "|", ";")
 
 
+def _literal(path: str) -> str:
+    """A listed path as a pattern that matches only itself."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def discover_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """CSV files anywhere below a directory: path, table (upper-case file stem).
+    """CSV files anywhere below a directory: path, folder, table (upper-case file stem).
 
     Hidden files, such as the ``._*`` companions some systems add, are skipped
     by the file source. Only the listing is read.
@@ -31,37 +38,51 @@ def discover_csv(spark: SparkSession, directory: str) -> DataFrame:
         .load(directory)
         .select("path")
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.upper(F.regexp_replace(name, r"\.csv$", "")).alias("table")).orderBy(
-        F.split("path", "/")
-    )
+    parts = F.split("path", "/")
+    return files.select(
+        "path",
+        F.upper(F.element_at(parts, -2)).alias("folder"),
+        F.upper(F.regexp_replace(F.element_at(parts, -1), r"\.csv$", "")).alias("table"),
+    ).orderBy(parts)
 
 
 def _separator(spark: SparkSession, path: str) -> str:
     """The candidate that splits the header line into most columns."""
-    header = spark.read.text(path).first()
+    header = spark.read.text(_literal(path)).first()
     line = header[0] if header else ""
     return max(SEPARATORS, key=line.count)
 
 
-def read_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
-    """One CSV table with a header, its declared columns cast by name.
+def read_csv(spark: SparkSession, paths: str | Sequence[str], table: str, multi_line: bool = False) -> DataFrame:
+    """One table from one CSV file or several with the same header, declared columns cast by name.
 
-    Other columns get inferred types. Quotes inside quoted fields are doubled,
-    empty fields are NULL, and a row of the wrong width fails the read.
-    Set ``multi_line`` for files with line breaks inside fields; such a file
-    cannot be split among tasks.
+    Declared columns are read as text and cast strictly; types of other
+    columns, if there are any, are inferred in one more pass. Quotes inside
+    quoted fields are doubled, empty fields are NULL, and a row of the wrong
+    width or a file with another header fails the read. Set ``multi_line`` for
+    files with line breaks inside fields; such a file cannot be split among
+    tasks.
     """
-    df = (
-        spark.read.option("header", "true")
-        .option("inferSchema", "true")
-        .option("mode", "FAILFAST")
-        .option("sep", _separator(spark, path))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", str(multi_line).lower())
-        .csv(path)
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = [_literal(p) for p in paths]
+
+    def reader() -> DataFrameReader:
+        return (
+            spark.read.option("header", "true")
+            .option("mode", "FAILFAST")
+            .option("sep", _separator(spark, paths[0]))
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("enforceSchema", "false")
+            .option("multiLine", str(multi_line).lower())
+        )
+
+    names = reader().csv(files[0]).schema
+    known = COLUMN_TYPES.get(table.lower(), {})
+    if any(f.name.lower() not in known for f in names):
+        names = reader().option("inferSchema", "true").csv(files).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name.lower() in known else f.dataType) for f in names]
+    df = reader().schema(T.StructType(fields)).csv(files) if fields else reader().csv(files)
     blank_as_null = [
         F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) if kind == "string" else F.col(f"`{name}`")
         for name, kind in df.dtypes
@@ -69,43 +90,52 @@ def read_csv(spark: SparkSession, path: str, table: str, multi_line: bool = Fals
     return declared(df.select(*blank_as_null), table)
 
 
-def _load_table(spark: SparkSession, table: str, paths: list[str], store: str, multi_line: bool) -> list[tuple]:
-    """Load the last readable file of one table; a status row per file."""
+def _load_table(
+    spark: SparkSession, table: str, sources: list[tuple[str, ...]], store: str, multi_line: bool
+) -> list[tuple]:
+    """Load the last readable source of one table, a file or all parts of a folder; a status row per file."""
     status, loaded = [], None
-    for path in reversed(paths):
+    for paths in reversed(sources):
         if loaded is not None:
-            status.append((table, path, False, f"replaced by {loaded}"))
+            status.extend((table, path, False, f"replaced by {loaded}") for path in paths)
             continue
         try:
-            df = read_csv(spark, path, table, multi_line)
-            if has_table(spark, store, table):
-                df.write.format("noop").mode("overwrite").save()  # an unreadable file must not cost the old table
-            write_table(df, store, table)
-        except Exception as error:  # nor stop the other files
-            status.append((table, path, False, str(error).split("\n")[0]))
+            write_table(read_csv(spark, paths, table, multi_line), store, table)
+        except Exception as error:  # must not stop the other files
+            status.extend((table, path, False, str(error).split("\n")[0]) for path in paths)
         else:
-            loaded = path
-            status.append((table, path, True, None))
+            loaded = paths[0]
+            status.extend((table, path, True, None) for path in paths)
     return status
 
 
 def load_cdm(
-    spark: SparkSession, directory: str, store: str, multi_line: Iterable[str] = (), parallel: int = 4
+    spark: SparkSession,
+    directory: str,
+    store: str,
+    multi_line: Iterable[str] = (),
+    parallel: int = 4,
+    in_parts: Iterable[str] = (),
 ) -> DataFrame:
     """Load every CSV file into the store: table, path, loaded, error.
 
     A file that cannot be read or typed is reported and skipped. Of several
     files with the same stem the last readable one by path is loaded and the
-    others are reported. Loading again replaces. The loading is done when this
-    is called; the result has one row per file.
+    others are reported. Tables named in ``in_parts`` come in many files: all
+    files of a folder of the table's name, whatever they are called, are read
+    together as that table. Loading again replaces. The loading is done when
+    this is called; the result has one row per file.
     """
-    quoted = {name.upper() for name in multi_line}
-    by_table: dict[str, list[str]] = {}
+    quoted, parted = ({name.upper() for name in names} for names in (multi_line, in_parts))
+    by_table: dict[str, dict[str, list[str]]] = {}
     for row in discover_csv(spark, directory).collect():
-        by_table.setdefault(row["table"], []).append(row["path"])
+        whole = row["folder"] in parted
+        table, source = (row["folder"], row["path"].rsplit("/", 1)[0]) if whole else (row["table"], row["path"])
+        by_table.setdefault(table, {}).setdefault(source, []).append(row["path"])
 
     def load(table: str) -> list[tuple]:
-        return _load_table(spark, table, by_table[table], store, table in quoted)
+        sources = [tuple(paths) for paths in by_table[table].values()]
+        return _load_table(spark, table, sources, store, table in quoted)
 
     with ThreadPoolExecutor(parallel) as pool:
         status = [row for rows in pool.map(load, by_table) for row in rows]

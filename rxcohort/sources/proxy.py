@@ -1,7 +1,7 @@
 """Stand-in patient tables derived from a sales schema.
 
 There is no clinical data at hand, so customers stand for persons, line items
-for drug exposures, every fourth order for a condition, and part names for
+for drug exposures, orders for conditions, and part names for
 drug names. ``FIXTURES.md`` section 2 gives the mapping. Drug ids start above
 every other id, however many parts there are.
 """
@@ -98,7 +98,7 @@ def _concept(spark: SparkSession, part: DataFrame, orders: DataFrame) -> DataFra
 
 
 def _conditions(orders: DataFrame) -> DataFrame:
-    return orders.where("o_orderkey % 4 = 0").selectExpr(
+    return orders.selectExpr(
         "o_custkey AS person_id",
         f"{CONDITION_ID} AS condition_concept_id",
         "CAST(o_orderdate AS DATE) AS condition_start_date",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from types import SimpleNamespace
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ CODE_COLUMN = {"condition_occurrence": "condition_concept_id", "drug_exposure":
 
 
 def write_table(df: DataFrame, store: str, table: str) -> None:
-    """Replace one table of the store.
+    """Replace one table of the store: written beside it, then renamed.
+
+    A write that fails leaves the old table as it was.
 
     Fact tables are range-clustered by code and then person: a code list reads
     few row groups, and a code with very many rows is spread over many files.
@@ -26,7 +29,48 @@ def write_table(df: DataFrame, store: str, table: str) -> None:
     code = CODE_COLUMN.get(table.lower())
     if code is not None:
         df = df.repartitionByRange(F.col(code), F.col("person_id")).sortWithinPartitions(code, "person_id")
-    df.write.mode("overwrite").parquet(table_path(store, table))
+    path = table_path(store, table)
+    fresh = table_path(store, f"_{table}-{uuid4().hex}")
+    try:
+        df.write.parquet(fresh)
+    except Exception:
+        _files(df.sparkSession, fresh).remove()
+        raise
+    _swap(df.sparkSession, fresh, path)
+
+
+class _files:
+    """One path of whatever file system it lies in; renames are atomic per folder where the system has them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.at)
+
+    def move(self, to: _files) -> None:
+        if not self.system.rename(self.at, to.at):
+            raise OSError(f"cannot rename {self.at} to {to.at}")
+
+    def remove(self) -> None:
+        self.system.delete(self.at, True)
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a finished folder in the place of another, which stays readable until then."""
+    new, current, old = (_files(spark, p) for p in (fresh, path, f"{fresh}-old"))
+    replaces = current.exists()
+    if replaces:
+        current.move(old)
+    try:
+        new.move(current)
+    except Exception:
+        if replaces:
+            old.move(current)
+        raise
+    if replaces:
+        old.remove()
 
 
 def table_path(store: str, table: str) -> str:

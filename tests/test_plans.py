@@ -181,18 +181,43 @@ def test_hot_code_is_split_in_a_shuffled_join(spark, monkeypatch, no_small_table
         assert "skew=true" in plan(met)
 
 
-def test_clustered_store_skips_row_groups(spark, tmp_path):
-    """A code list reads the row groups of its codes only, also when one code is very frequent."""
-    facts = spark.range(0, 200_000, 1, 4).selectExpr(
-        "id AS person_id",
-        "IF(id % 3 = 0, 5, id % 1000) AS drug_concept_id",
-        "DATE '2000-01-01' AS drug_exposure_start_date",
+def rows_read(df):
+    """Rows that leave the scans of a finished query."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        nodes.extend(node.children().apply(i) for i in range(node.children().size()))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("ids", [2, 20, 200, 2_000])
+def test_clustered_store_skips_what_a_scattered_list_does_not_need(spark, tmp_path, ids):
+    """Far fewer rows are read than lie between the smallest and the largest id, with the session as it comes."""
+    n = 2_000_000
+    facts = spark.range(0, n, 1, 4).selectExpr(
+        "id AS person_id", "id * 7919 % 500000 AS drug_concept_id", "DATE '2000-01-01' AS drug_exposure_start_date"
     )
     with settings(spark, adaptive__coalescePartitions__enabled="false"):  # as many files as a large table has
         parquet_store.write_table(facts, str(tmp_path), "drug_exposure")
     stored = parquet_store.read_table(spark, str(tmp_path), "drug_exposure")
-    hot_files = stored.where("drug_concept_id = 5").selectExpr("input_file_name() AS f").distinct().count()
-    all_files = stored.selectExpr("input_file_name() AS f").distinct().count()
-    assert all_files > 2 and hot_files > 1
-    rare = stored.where("drug_concept_id IN (990, 995)").selectExpr("input_file_name() AS f").distinct().count()
-    assert rare < all_files
+    # Clusters of ids, as product lists are, at both ends of the vocabulary and between.
+    chosen = [(1_000 + (i % 10) * 49_000 + i // 10 * 3,) for i in range(ids)]
+    codes = spark.createDataFrame(chosen, "concept_id bigint")
+    kept = lookup.keep_codes(stored, "drug_concept_id", codes)
+    read = rows_read(kept)
+    assert kept.count() == 4 * ids
+    assert read < 0.35 * n
+
+
+@pytest.mark.parametrize("literal, broadcast", [(5_000, 500_000), (0, 0)])
+@pytest.mark.parametrize("name", ["concomitant_by_id", "concomitant_by_name", "concomitant_in_window"])
+def test_co_medication_reads_exposures_once(spark, monkeypatch, no_small_tables, name, literal, broadcast):
+    sizes(monkeypatch, literal, broadcast)
+    shape = plan(ON_TABLES[name](proxy.ProxyCdm(spark, SMALL)))
+    assert shape.count("lineitem.parquet") == 1
+    assert shape.count("Exchange hashpartitioning(person_id") == 1

@@ -191,3 +191,16 @@ def test_forest_and_record(spark):
 def test_empty_study(spark):
     record = model.comparative_safety(cdm(spark)).first()
     assert tuple(record) == (0, 0, 0.0, 0, 0, 0.0, None, None, None, None, None, None, False)
+
+
+def test_rows_without_a_person_are_nobody(spark):
+    t = cdm(
+        spark,
+        people(1, 2, 3),
+        [rx(1, IBU, 1), rx(None, IBU, 1), rx(None, ACET, 1)],
+        [dx(2, BLEED, 5), dx(None, BLEED, 5), dx(None, BLEED, 6)],
+    )
+    assert tuple(crude(t))[:6] == (1, 0, 0.0, 2, 1, 50.0)
+    assert values(cohorts.outcome_cohort(t.condition_occurrence).select("person_id")) == [(2,)]
+    assert values(cohorts.new_user_cohort(t.drug_exposure, codelists.named(t.concept, TARGET_NAMES)).select("person_id")) == [(1,)]
+    assert values(cohorts.comparator_cohort(t.drug_exposure, t.concept).select("person_id")) == [(1,)]

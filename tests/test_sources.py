@@ -59,6 +59,7 @@ def test_directory_of_csv_tables(spark, place):
     assert values(drugs.select("person_id", "drug_exposure_start_date", "days_supply", "note")) == [
         (1, date(2001, 2, 3), 30, 'a, "b"'),
         (2, date(2001, 2, 4), None, None),
+        (None, date(2001, 2, 5), None, None),
     ]
     assert values(parquet_store.read_table(spark, place.store, "Concept")) == [
         (7, "Ibuprofen, oral", "RxNorm"), (8, None, "RxNorm"),
@@ -67,10 +68,65 @@ def test_directory_of_csv_tables(spark, place):
 
     tables = {t: parquet_store.read_table(spark, place.store, t) for t in loaded}
     counts = values(parquet_store.core_row_counts(spark, tables))
-    expected = {"PERSON": 2, "DRUG_EXPOSURE": 2, "OBSERVATION": 1, "DEATH": 0}
+    expected = {"PERSON": 2, "DRUG_EXPOSURE": 3, "OBSERVATION": 1, "DEATH": 0}
     assert counts == sorted((t, expected.get(t)) for t in CORE_TABLES)
 
 
+@pytest.mark.parametrize(
+    "table, row",
+    [
+        ("person", "1.9,8507,1960"),
+        ("person", "1,8507,1980.7"),
+        ("person", "1,8507,true"),
+        ("drug_exposure", "1,2,2000-01-01,2000-01-02,true"),
+        ("drug_exposure", "1,2,01.02.2000,2000-01-02,3"),
+    ],
+)
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_no_value_is_changed_to_fit(spark, place, table, row, ansi):
+    header = {"person": "person_id,gender_concept_id,year_of_birth", "drug_exposure": ",".join(COLUMN_TYPES["drug_exposure"])}
+    put(place.csv / f"{table}.csv", f"{header[table]}\n{row}\n")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert [ok for ok, _ in load(spark, place).values()] == [False]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_table_in_many_files(spark, place):
+    header = "person_id,gender_concept_id,year_of_birth,note\n"
+    for i in range(3):
+        put(place.csv / "PERSON" / f"part-{i}.csv", f"{header}{i},1,190{i},{'x' if i else i}\n")
+    put(place.csv / "death.csv", "person_id\n1\n")
+    status = csv_source.load_cdm(spark, str(place.csv), place.store, in_parts=["person"]).collect()
+    assert sorted((r["table"], r["loaded"]) for r in status) == [("DEATH", True)] + [("PERSON", True)] * 3
+    stored = parquet_store.read_table(spark, place.store, "person")
+    assert values(stored.select("person_id", "note")) == [(0, "0"), (1, "x"), (2, "x")]
+    put(place.csv / "PERSON" / "part-3.csv", "person_id,year_of_birth,gender_concept_id,note\n9,1909,1,x\n")
+    again = csv_source.load_cdm(spark, str(place.csv), place.store, in_parts=["person"]).collect()
+    assert [r["loaded"] for r in again if r["table"] == "PERSON"] == [False] * 4  # a part with another header
+    assert parquet_store.read_table(spark, place.store, "person").count() == 3
+
+
+def test_paths_that_look_like_patterns(spark, place):
+    for i, folder in enumerate(["set[1]", "p{q,r}", "s pace"]):
+        put(place.csv / folder / f"t{i}.csv", f"a\n{i}\n")
+    assert all(ok for ok, _ in load(spark, place).values())
+    assert [values(parquet_store.read_table(spark, place.store, f"t{i}")) for i in range(3)] == [[(0,)], [(1,)], [(2,)]]
+
+
+def test_failed_write_keeps_the_old_table(spark, place):
+    old = spark.range(3)
+    parquet_store.write_table(old, place.store, "note")
+    broken = spark.range(3).selectExpr("IF(id = 2, raise_error('broken'), id) AS id")
+    with pytest.raises(Exception, match="broken"):
+        parquet_store.write_table(broken, place.store, "note")
+    assert parquet_store.read_table(spark, place.store, "note").count() == 3
+    parquet_store.write_table(spark.range(5), place.store, "note")
+    assert parquet_store.read_table(spark, place.store, "note").count() == 5
+
+
 def test_values_that_do_not_fit_are_reported(spark, place):
     put(place.csv / "person.csv", "person_id,gender_concept_id,year_of_birth\n1,8507,unknown\n")
     ok, error = load(spark, place)[("PERSON", "person.csv")]

@@ -86,3 +86,27 @@ def test_repeats_do_not_change_switching(spark):
     for copies in (1, 7):
         t = cdm(spark, people(1, 2), once * copies)
         assert values(use.switching(use.ingredient_exposures(t.drug_exposure, t.concept))) == [(2, 1, 50.0)]
+
+
+def test_exposures_without_a_person_are_nobodys(spark):
+    t = cdm(spark, drugs=[rx(1, IBU, 0), rx(None, IBU, 0), rx(None, OMEP, 0), rx(None, ASPIRIN, 0)])
+    assert values(use.comedication_coverage(t.drug_exposure, t.concept)) == [(0, 1, 0.0)]
+    assert values(use.concomitant_by_id(t.drug_exposure, t.concept)) == []
+    assert values(use.rx_per_patient(t.drug_exposure, codes(t))) == [(1.0, 1.0, 1)]
+    tagged = use.ingredient_exposures(t.drug_exposure, t.concept)
+    assert values(use.switching(tagged)) == [(1, 0, 0.0)]
+    assert values(use.first_ingredient(tagged).select("person_id")) == [(1,)]
+
+
+def test_co_medication_within_a_window(spark):
+    t = cdm(
+        spark,
+        drugs=[
+            rx(1, IBU, 10), rx(1, IBU, 50), rx(1, ASPIRIN, 9), rx(1, OMEP, 10), rx(1, ACET, 40), rx(1, NAMELESS, 41),
+            rx(2, NAP, 5), rx(2, ASPIRIN, 35), rx(2, ACET, 36), rx(3, ASPIRIN, 5), rx(4, IBU, None), rx(4, ASPIRIN, 5),
+        ],
+    )
+    got = use.concomitant_by_id(t.drug_exposure, t.concept, days=30)
+    assert [tuple(r)[:2] for r in got.collect()] == [("Omeprazole", 1), ("acetaminophen", 1), ("aspirin", 1)]
+    at_any_time = use.concomitant_by_id(t.drug_exposure, t.concept).collect()
+    assert [tuple(r)[:2] for r in at_any_time] == [("aspirin", 3), ("acetaminophen", 2), ("Omeprazole", 1), (None, 1)]
