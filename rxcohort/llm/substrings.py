@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from rxcohort.llm.common import in_slices, kept
 
 WINDOW = 13
-CHUNK = 2_000_000  # words a task takes together
+CHUNK = 1_000_000  # words a task takes together
+REMEMBERED = 300_000  # words whose hashes it keeps meanwhile
 KEY_BITS = 22  # of a block's hash besides its bucket
 LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
 
@@ -37,15 +38,16 @@ _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered within a chunk."""
+    """64-bit hashes of words, the first ones of a chunk remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = value
         return value
 
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def rolling(words: np.ndarray, length: int, odd: np.uint64 = _ODD) -> np.ndarray:
@@ -134,12 +136,13 @@ def _per_bucket(bucket: np.ndarray, ids: np.ndarray, *packed: np.ndarray) -> Ite
 def _chunks(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """Documents (id, text, more) gathered to chunks: (ids, lengths, word hashes, what else came)."""
     ids, lengths, parts, more, total, known = [], [], [], [], 0, WordHashes()
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in in_slices(batches):
         extra = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
         for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            words = words_of(text if isinstance(text, (str, type(None))) else zstandard.decompress(text).decode())
+            words = (expand(text) if isinstance(text, bytes) else (text or "").encode()).split()
             ids.append(doc), lengths.append(len(words)), more.append([e[i] for e in extra])
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            parts.append(known.of(words))
             total += len(words)
             if total >= CHUNK:
                 yield np.array(ids, np.int64), np.array(lengths), np.concatenate(parts), more
@@ -156,8 +159,8 @@ def _send_anchors(window: int, bits: int):
     def send(batches: Iterator) -> Iterator:
         for ids, lengths, words, _ in _chunks(batches):
             starts = np.cumsum(lengths) - lengths
-            doc = np.repeat(np.arange(len(ids)), lengths)
-            position = np.arange(len(words)) - np.repeat(starts, lengths)
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+            position = (np.arange(len(words)) - np.repeat(starts, lengths)).astype(np.int32)
             hashes = rolling(words, block)
             doc, position = doc[: len(hashes)], position[: len(hashes)]
             valid = (position + block <= lengths[doc]) & (lengths[doc] >= window)
@@ -222,17 +225,17 @@ def _looked_up(window: int, bits: int):
     block, shift = (window + 1) // 2, np.uint64(64 - bits - KEY_BITS)
 
     def look(batches: Iterator) -> Iterator:
+        expand, known = zstandard.ZstdDecompressor().decompress, WordHashes()
         for batch in in_slices(batches):
             cols = [batch.column(i).to_pylist() for i in range(3)]
             counts, digests, bodies, firsts = [], [], [], []
             for doc, packed, keys in zip(*cols):
-                words = words_of(zstandard.decompress(packed).decode())
+                words = expand(packed).split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 starts = np.empty(0, np.int64)
                 if keys and len(words) >= window:
-                    known = WordHashes()
-                    hashes = rolling(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), block)
+                    hashes = rolling(known.of(words), block)
                     hit = np.isin(hashes >> shift, _keys(keys)).astype(np.int64)
                     # A window is looked at if one of the blocks inside it was hit.
                     sums = np.append(0, np.cumsum(hit))
@@ -299,6 +302,7 @@ def _removed(window: int):
     """What is left of each document once its repeated windows are taken out."""
 
     def take(batches: Iterator) -> Iterator:
+        expand, known = zstandard.ZstdDecompressor().decompress, WordHashes()
         for batch in in_slices(batches):
             cols = [batch.column(i).to_pylist() for i in range(5)]
             removed, digests, spans = [], [], []
@@ -306,10 +310,8 @@ def _removed(window: int):
                 if not keys or body is None:  # of several rows with an id, some may have nothing to look at
                     removed.append(0), digests.append(sha), spans.append("")
                     continue
-                words = words_of(zstandard.decompress(body).decode())
-                known = WordHashes()
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                hit = np.isin(_window_hashes(hashes, window)[0], _keys(keys))
+                words = expand(body).split()
+                hit = np.isin(_window_hashes(known.of(words), window)[0], _keys(keys))
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.flatnonzero(hit)
                 edge[at] += 1
