@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = r"[\x20\x09-\x0D]+"  # what separates words, as a Java pattern
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +40,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts may be long, handed to Python workers in small batches.
+
+    A batch is held whole by both sides, and Spark bounds it by rows only. A
+    session that sets another size than Spark's own keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS, "10000") == "10000":
+        conf.set(BATCH_ROWS, "500")
+    return df
+
+
 def held(key: object, build: Callable[[], object]) -> object:
     """An object that a Python worker builds once and keeps between tasks."""
     holder = sys.modules.setdefault("_rxcohort_held", types.ModuleType("_rxcohort_held"))

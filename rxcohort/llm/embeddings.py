@@ -104,14 +104,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _placed(vectors: DataFrame, models: dict[int, Quantizer], distance: float) -> DataFrame:
     """Each vector once as stored (probe false) and once for each list it probes."""
-    shared = vectors.sparkSession.sparkContext.broadcast(models)
 
     def rows(batches: Iterator) -> Iterator:
         for batch in batches:
             dims = batch.column(1).field("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                own, far = shared.value[int(dim)].lists(_unit(part.column(2)))
+                own, far = models[int(dim)].lists(_unit(part.column(2)))
                 probe = far <= distance + 1e-9
                 at, to = np.nonzero(probe)
                 every = pa.array(np.concatenate([np.arange(len(own)), at]))
@@ -129,7 +128,7 @@ def _placed(vectors: DataFrame, models: dict[int, Quantizer], distance: float) -
     return vectors.mapInArrow(rows, f"row long, group {dim_type}, x array<double>, list int, probe boolean")
 
 
-def _compared(models: dict[int, Quantizer], cosine: float, shared: object):
+def _compared(models: dict[int, Quantizer], cosine: float):
     """For one block of stored and one of probing vectors: hits of each probing one, and links that connect them."""
     distance = np.sqrt(max(0.0, 2 - 2 * cosine))
 
@@ -138,7 +137,7 @@ def _compared(models: dict[int, Quantizer], cosine: float, shared: object):
         if not stored.num_rows or not probing.num_rows:
             return pa.table(empty)
         y, x = (_unit(t.column("x").combine_chunks()) for t in (stored, probing))
-        model = shared.value[y.shape[1]]
+        model = models[y.shape[1]]
         centre = model.centroids[stored.column("list")[0].as_py()]
         codes, error = model.code(y - centre)
         limit = (distance + error + 1e-6) ** 2
@@ -214,11 +213,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, lists: int = LISTS
     probing = sized.where("probe").select(
         "group", "list", "row", "x", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.pmod(salt, "np").alias("p")
     )
-    shared = table.sparkSession.sparkContext.broadcast(models)
     block = ["group", "list", "s", "p"]
     probing = probing.toDF(*probing.columns)  # columns of its own
     met = stored.groupBy(*block).cogroup(probing.groupBy(*block))
-    found = kept(met.applyInArrow(_compared(models, cosine, shared), "a long, b long, hits long"), "found")
+    found = kept(met.applyInArrow(_compared(models, cosine), "a long, b long, hits long"), "found")
     counts = kept(found.where("hits > 0").groupBy(F.col("a").alias("row")).agg(F.sum("hits").alias("n_links")), "counts")
     roots = connected(found, "a", "b")
     ids = table.select("row", "vec_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxcohort.llm.common import in_slices
+from rxcohort.llm.common import in_slices, in_small_batches
 
 PREFIXES = (4, 5, 6, 7)
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -50,7 +50,7 @@ def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "features"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(rows, "doc_id long, features binary")
+    return in_small_batches(chosen).mapInArrow(rows, "doc_id long, features binary")
 
 
 def sampled(docs: DataFrame, picked: DataFrame, doc_id: str, text: str) -> list[tuple]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxcohort.llm.common import in_slices, kept
+from rxcohort.llm.common import in_slices, in_small_batches, kept
 from rxcohort.llm.features import Matrix, features, sampled, telling
 
 LABELLED = 12_000  # labelled documents at most, for training the classifier
@@ -83,10 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 def with_posteriors(docs: DataFrame, model: Classifier, text: str, tokens: str, posterior: str) -> DataFrame:
     """``docs`` with its number of words and its posterior over domains."""
     names, at = docs.columns, docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator) -> Iterator:
-        model = shared.value
         for batch in in_slices(batches):
             found = [features(t.as_py()) for t in batch.column(at)]
             counts = [len((t.as_py() or "").encode().split()) for t in batch.column(at)]
@@ -97,7 +95,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str, tokens: str,
             )
 
     more = [T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *more]))
+    return in_small_batches(docs).mapInArrow(rows, T.StructType([*docs.schema.fields, *more]))
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxcohort.llm.common import held, in_slices, kept
+from rxcohort.llm.common import held, in_slices, in_small_batches, kept
 
 CAPACITY = 1024
 END_ID = 2
@@ -114,7 +114,7 @@ def token_pieces(
             )
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(rows, PIECE)
+    return in_small_batches(chosen).mapInArrow(rows, PIECE)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -81,8 +81,3 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_token_counts,
         )
     }
-
-
-def all_oracles() -> dict[str, str]:
-    """DuckDB SQL for the queries that SQL can express."""
-    return {}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxcohort.llm.common import in_slices, kept
+from rxcohort.llm.common import in_slices, in_small_batches, kept
 from rxcohort.llm.components import connected
 
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(rows, "doc_id long, fp long")
+    return in_small_batches(chosen).mapInArrow(rows, "doc_id long, fp long")
 
 
 def _signed(bits: int) -> int:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm.common import in_slices, kept
+from rxcohort.llm.common import in_slices, in_small_batches, kept
 
 WINDOW = 13
 CHUNK = 1_000_000  # words a task takes together
@@ -353,6 +353,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     bits = bucket_bits(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col(text).alias("text"))
     answer = "doc_id long, keys binary"
+    chosen = in_small_batches(chosen)
     anchors = chosen.mapInArrow(_send_anchors(window, bits), SENT)
     hits = kept(anchors.groupBy("bucket").applyInArrow(_meet_anchors, answer), "hits")
     packed = chosen.mapInArrow(_compressed, "doc_id long, packed binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxcohort.llm.common import held, in_slices
+from rxcohort.llm.common import held, in_slices, in_small_batches
 
 REMEMBERED = 300_000  # pre-tokens whose counts a worker keeps between slices
 MARK = "▁"  # begins a word
@@ -113,4 +113,4 @@ def token_counts(
             )
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(rows, "doc_id long, n_words long, n_distinct long, n_tokens long")
+    return in_small_batches(chosen).mapInArrow(rows, "doc_id long, n_words long, n_distinct long, n_tokens long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxcohort.llm.common import doc_fold
+from rxcohort.llm.common import doc_fold, in_small_batches
 from rxcohort.llm.features import Matrix, features, sampled, telling
 
 POSITIVES = 4_000  # confirmed toxic documents at most, for training
@@ -113,15 +113,13 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str =
     """``docs`` with a score between 0 and 1 for each whole text; null and empty texts get one too."""
     names = docs.columns
     at = names.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator) -> Iterator:
-        model = shared.value
         for batch in batches:
             scores = [model.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, score])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return in_small_batches(docs).mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
