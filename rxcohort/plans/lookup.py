@@ -4,9 +4,10 @@ A code list may hold two ids or most of a vocabulary, and its keys may be
 heavily skewed in the facts. Three ways are used, chosen by counting the list
 before the facts are touched:
 
-* up to ``LITERAL_CODES`` ids: the ids become an ``IN`` predicate with the
-  ranges they lie in, which the Parquet scan uses to skip row groups and
-  pages; the facts are not shuffled;
+* up to ``LITERAL_CODES`` ids: the ids become one ``IN`` set for the rows, at
+  the same cost per row however many there are, and a handful of wide ranges
+  with which the Parquet scan skips row groups and pages; the facts are not
+  shuffled;
 * up to ``BROADCAST_CODES`` rows: broadcast join; the facts are not shuffled;
 * beyond: an ordinary shuffled join. Adaptive execution splits the partition
   of a hot id; nothing is dropped or capped.
@@ -24,7 +25,7 @@ LITERAL_CODES = 5_000
 BROADCAST_CODES = 500_000
 BROADCAST_BYTES = 256 << 20  # of names and ids, before encoding
 PUSHED_IN = 10  # values of an IN that row groups are checked against one by one
-RANGES = 256
+RANGES = 8  # every row that the set lets through is compared with each, so they are few
 
 
 def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -71,20 +72,13 @@ def _ranges(ids: list[int]) -> list[tuple[int, int]]:
     return [(ids[lo], ids[hi - 1]) for lo, hi in zip(cuts, cuts[1:])]
 
 
-def _any(tests: list[str]) -> str:
-    """OR of all tests, nested evenly so that no expression grows deep."""
-    if len(tests) == 1:
-        return tests[0]
-    half = len(tests) // 2
-    return f"({_any(tests[:half])} OR {_any(tests[half:])})"
-
-
 def _listed(key: str, few: pa.Table) -> Column:
     """``key IN (...)``, written as text: a column call per id takes longer than the scan it saves.
 
     The Parquet reader checks an ``IN`` of more than ten values against row
-    groups only by its smallest and largest one, so a longer list is preceded
-    by the ranges its ids lie in, which are checked one by one.
+    groups only by its smallest and largest one, so a longer list also names
+    the ranges its ids lie in, which are checked one by one. The set stands
+    first: a row that is not in it meets no range.
     """
     ids = few[key].to_pylist()
     if not ids:
@@ -92,8 +86,8 @@ def _listed(key: str, few: pa.Table) -> Column:
     exact = f"`{key}` IN ({', '.join(map(str, ids))})"
     if len(ids) <= PUSHED_IN:
         return F.expr(exact)
-    within = _any([f"(`{key}` >= {lo} AND `{key}` <= {hi})" for lo, hi in _ranges(ids)])
-    return F.expr(f"{within} AND {exact}")
+    within = " OR ".join(f"`{key}` BETWEEN {lo} AND {hi}" for lo, hi in _ranges(ids))
+    return F.expr(f"{exact} AND ({within})")
 
 
 def _ids(codes: DataFrame, key: str) -> DataFrame:
