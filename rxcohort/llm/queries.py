@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import embeddings, mixing, packing, pii, search, secrets, simhash, substrings, token_counts, toxicity
+from rxcohort.llm import embeddings, manifest, mixing, packing, pii, search, secrets, simhash, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.checked(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -79,5 +83,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_simhash_near_dedup,
             op9_bm25_top_k,
             op10_token_counts,
+            op13_merkle_manifest,
         )
     }
