@@ -164,11 +164,63 @@ FROM leaves JOIN subroots AS s USING (grp) JOIN forest ON forest.n = 1
      JOIN topped AS t ON t.id = leaves.id AND t.level = forest.level
 """
 
+# Every conversation as rows of its own, a node by the digest of its path, and subtrees by what lies on members' paths.
+CONVERSATIONS = f"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+shapes AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base, {CRC32.format(id="c.conv_id")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed) AS c
+),
+pieces AS (
+  SELECT shapes.conv_id, 0 AS part, pos, role, text FROM shapes JOIN placed ON placed.conv_id = base WHERE pos < h
+  UNION ALL
+  SELECT conv_id, 1, pos, role, text FROM shapes JOIN placed USING (conv_id) WHERE pos >= h
+),
+turns AS (
+  SELECT conv_id, row_number() OVER path AS depth, strlen(text) AS octets,
+         sha256(string_agg(sha256(strlen(role) || ':' || role || text), '') OVER path) AS node
+  FROM pieces WINDOW path AS (PARTITION BY conv_id ORDER BY part, pos)
+),
+paths AS (
+  SELECT *, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM turns
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL FROM shapes
+),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs,
+         (count(*) - 1) * any_value(octets) AS saved
+  FROM paths GROUP BY node
+),
+degrees AS (
+  SELECT n.node, count(c.node) AS n_children FROM nodes AS n LEFT JOIN nodes AS c ON c.parent = n.node GROUP BY n.node
+),
+below AS (
+  SELECT DISTINCT a.node AS top, b.node FROM paths AS a JOIN paths AS b USING (conv_id) WHERE b.depth >= a.depth
+),
+totals AS (
+  SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM below JOIN nodes USING (node) JOIN degrees USING (node) GROUP BY top
+),
+ends AS (
+  SELECT node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT * FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes AS n LEFT JOIN nodes AS p ON p.node = n.parent JOIN degrees ON degrees.node = n.node
+     JOIN totals ON totals.node = n.node LEFT JOIN ends ON ends.node = n.node
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return {
         "op2_substring_dedup": REPEATS,
         "op5_embedding_near_dedup": VECTORS,
         "op9_bm25_top_k": TOP_K,
+        "op12_conversation_trie": CONVERSATIONS,
         "op13_merkle_manifest": MANIFEST,
     }
