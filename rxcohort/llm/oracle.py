@@ -216,11 +216,59 @@ FROM nodes AS n LEFT JOIN nodes AS p ON p.node = n.parent JOIN degrees ON degree
 """
 
 
+def _digests(text: str) -> str:
+    """The distinct 60-bit paragraph digests of a text."""
+    parts = f"list_transform(regexp_extract_all({text}, '[^\\n]{{1,160}}[^\\n.!?]{{0,160}}[.!?\\n]*|\\n+'), lambda p: rtrim(p, chr(10)))"
+    number = "CAST('0x' || substr(md5(p), 1, 15) AS BIGINT)"
+    return f"list_distinct(list_transform(list_filter({parts}, lambda p: p <> ''), lambda p: {number}))"
+
+
+# Likeness from whole sets of paragraphs; cells by grouping digests.
+FINGERPRINTS = f"""
+WITH placed AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body,
+         coalesce(lead(coalesce(text, '')) OVER whole, first_value(coalesce(text, '')) OVER whole) AS following
+  FROM documents WINDOW whole AS (ORDER BY doc_id DESC NULLS LAST, coalesce(text, ''))
+),
+texts AS (
+  SELECT id, doc_id, length(body) AS n_chars, body, following,
+         substr(body, 1, length(body) - length(body) // 2) || substr(following, 1, length(body) // 2) AS edited
+  FROM placed
+),
+sets AS (
+  SELECT id, doc_id, n_chars, sha256(edited) AS edited_sha256, {_digests("body")} AS a, {_digests("edited")} AS e,
+         {_digests("following")} AS f
+  FROM texts
+),
+entries AS (
+  SELECT id, version, key, CAST('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15) AS BIGINT) AS mix
+  FROM (SELECT id, 'a' AS version, unnest(a) AS key FROM sets UNION ALL SELECT id, 'e', unnest(e) FROM sets)
+),
+cells AS (
+  SELECT id, version, 8 * block + ((mix >> (3 * block)) & 7) AS cell, count(*) AS n, bit_xor(key) AS keys, bit_xor(mix >> 28) AS checks
+  FROM entries, (SELECT CAST(range AS INTEGER) AS block FROM range(3)) GROUP BY ALL
+),
+shown AS (
+  SELECT id, version, string_agg(lpad(lower(hex(coalesce(n, 0) & 65535)), 4, '0') || lpad(lower(hex(coalesce(keys, 0))), 15, '0')
+                                 || lpad(lower(hex(coalesce(checks, 0))), 8, '0'), '' ORDER BY cell) AS print
+  FROM (SELECT id, version, CAST(range AS INTEGER) AS cell FROM sets, (VALUES ('a'), ('e')) AS v(version), range(24))
+       LEFT JOIN cells USING (id, version, cell)
+  GROUP BY id, version
+)
+SELECT doc_id, n_chars, edited_sha256, own.print AS fingerprint, other.print AS edited_fingerprint,
+       CASE WHEN len(a) + len(e) = 0 THEN 1 ELSE len(list_intersect(a, e)) / len(list_distinct(a || e)) END AS near_edited,
+       CASE WHEN len(a) + len(f) = 0 THEN 1 ELSE len(list_intersect(a, f)) / len(list_distinct(a || f)) END AS near_next,
+       len(a) AS n_paragraphs, len(a) - len(list_intersect(a, e)) AS n_removed, len(e) - len(list_intersect(a, e)) AS n_added
+FROM sets JOIN shown AS own ON own.id = sets.id AND own.version = 'a' JOIN shown AS other ON other.id = sets.id AND other.version = 'e'
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op2_substring_dedup": REPEATS,
         "op5_embedding_near_dedup": VECTORS,
         "op9_bm25_top_k": TOP_K,
+        "op11_document_fingerprints": FINGERPRINTS,
         "op12_conversation_trie": CONVERSATIONS,
         "op13_merkle_manifest": MANIFEST,
     }

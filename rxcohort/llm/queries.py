@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxcohort.llm import conversations, embeddings, manifest, mixing, packing, pii, search, secrets, simhash, substrings, token_counts, toxicity
+from rxcohort.llm import (
+    conversations,
+    embeddings,
+    fingerprints,
+    manifest,
+    mixing,
+    packing,
+    pii,
+    search,
+    secrets,
+    simhash,
+    substrings,
+    token_counts,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -87,6 +105,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_simhash_near_dedup,
             op9_bm25_top_k,
             op10_token_counts,
+            op11_document_fingerprints,
             op12_conversation_trie,
             op13_merkle_manifest,
         )
