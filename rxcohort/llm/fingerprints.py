@@ -1,12 +1,13 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
 A text is a set of paragraphs (lines; a long line is cut at the end of a
-sentence), and a paragraph a 60-bit digest. A sketch has three blocks of eight
-cells; a digest goes to one cell of each block, where a count, the XOR of the
-digests and the XOR of their check values are kept. Two sketches are
-subtracted cell by cell, which leaves the digests that only one of the texts
-has, and these are peeled off: a cell with one digest left gives it away, it is
-taken out of its other cells, and so on. Where peeling gets stuck, the digests
+sentence), and a paragraph a digest of 43 bits with a check value of 20 bits
+behind them. A sketch has three blocks of eight cells; a digest goes to one
+cell of each block, where a count and the XOR of the digests are kept. Two
+sketches are subtracted cell by cell, which leaves the digests that only one
+of the texts has, and these are peeled off: a cell with one digest left, as
+its check value tells, gives it away, it is taken out of its other cells, and
+so on. Where peeling gets stuck or does not end with empty cells, the digests
 of that comparison are dealt by two of their bits to four sketches, four times
 the cells, and compared again, until all differences are found.
 
@@ -26,102 +27,83 @@ from rxcohort.llm.common import kept
 BLOCKS, SLOT_BITS = 3, 3
 SLOTS = 1 << SLOT_BITS
 CELLS = BLOCKS * SLOTS
-BITS = 2  # of a digest that deal it to one of four larger sketches
-CHECK_SHIFT = 28  # of a mixed digest, so that 32 bits of it are the check value
+DIGEST_BITS, CHECK_BITS = 43, 20
+FACTOR, MODULUS = 1_000_003, 1_048_573  # of the check value
+BITS = 2  # of a digest that deal it to one of four larger sketches, the highest ones first
+BUCKETS = 4  # of ids, for each shuffle partition
 
 # A line, cut after the first end of a sentence past 160 characters (320 without one), and what ends it.
 PARAGRAPH = r"[^\n]{1,160}[^\n.!?]{0,160}[.!?\n]*|\n+"
 
 
-def _number(binary: str) -> str:
-    """The first 60 bits of an MD5."""
-    return f"CAST(conv(substring(md5({binary}), 1, 15), 16, 10) AS BIGINT)"
-
-
-def _mixed(digest: str) -> str:
-    return _number(f"CAST(CAST({digest} AS STRING) AS BINARY)")
-
-
 def _let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` for ``value``, which is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _in_cell(item: str, cell: str) -> str:
-    return f"(shiftright({item}.mix, CAST({SLOT_BITS} * ({cell} DIV {SLOTS}) AS INT)) & {SLOTS - 1}) = {cell} % {SLOTS}"
-
-
-def _xor(items: str, value: str) -> str:
-    return f"aggregate({items}, 0L, (a, e) -> a ^ {value})"
-
-
-def paragraphs(text: Column) -> Column:
-    """Digests of the distinct paragraphs of a text, ascending; line ends at their end don't count."""
-    parts = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
+def paragraphs(text: str) -> Column:
+    """Digests with check values of the distinct paragraphs of a text column; line ends at their end don't count."""
+    parts = F.regexp_extract_all(F.col(text), F.lit(PARAGRAPH), F.lit(0))
     bare = F.filter(F.transform(parts, lambda p: F.rtrim(p, F.lit("\n"))), lambda p: p != "")
-    number = F.transform(bare, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long"))
-    return F.array_sort(F.array_distinct(number))
+    number = F.transform(bare, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 11), 16, 10).cast("long"))
+    digest = F.transform(number, lambda n: n.bitwiseAND(F.lit((1 << DIGEST_BITS) - 1)))
+    return F.array_distinct(F.transform(digest, lambda d: F.shiftleft(d, CHECK_BITS).bitwiseOR(d * FACTOR % MODULUS)))
 
 
-def _sketch(digests: str) -> str:
-    """Cells (n, key, chk) of an array of distinct digests."""
-    check = f"shiftright(e.mix, {CHECK_SHIFT})"
-    cell = _let(
-        "own",
-        f"filter(entries, e -> {_in_cell('e', 'c')})",
-        f"named_struct('n', size(own), 'key', {_xor('own', 'e.key')}, 'chk', {_xor('own', check)})",
-    )
-    entries = f"transform({digests}, k -> named_struct('key', k, 'mix', {_mixed('k')}))"
-    return _let("entries", entries, f"transform(sequence(0, {CELLS - 1}), c -> {cell})")
-
-
-def fingerprint(digests: str) -> Column:
-    """The sketch of a column of digests as hex: count (4), XOR of digests (15) and of check values (8 digits) of each cell."""
-    shown = (
-        "concat(lpad(hex(x.n & 65535), 4, '0'), lpad(hex(x.key), 15, '0'), lpad(hex(x.chk), 8, '0'))"
-    )
-    return F.expr(f"lower(array_join(transform({_sketch(digests)}, x -> {shown}), ''))")
+def _sketch(keys: str) -> str:
+    """Cells (n, key, and the mask and bits of the digests that go there) of an array of distinct digests."""
+    blocks = []
+    for block in range(BLOCKS):
+        at = CHECK_BITS + SLOT_BITS * block
+        mask = f"{SLOTS - 1 << at}L"
+        own = f"filter({keys}, k -> (k & {mask}) = bits)"
+        blocks.append(
+            f"transform(sequence(0L, {mask}, {1 << at}L), bits -> named_struct('own', {own}, 'mask', {mask}, 'bits', bits))"
+        )
+    folded = "named_struct('n', size(x.own), 'key', aggregate(x.own, 0L, (a, k) -> a ^ k), 'mask', x.mask, 'bits', x.bits)"
+    return f"transform(concat({', '.join(blocks)}), x -> {folded})"
 
 
-def _subtracted(a: str, b: str) -> str:
-    cell = "named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'chk', x.chk ^ y.chk)"
-    return f"zip_with({_sketch(a)}, {_sketch(b)}, (x, y) -> {cell})"
+def fingerprint(keys: str) -> Column:
+    """The sketch of a column of digests as hex: count (4 digits) and XOR of the digests (16) of each cell."""
+    shown = "concat(lpad(hex(x.n & 65535), 4, '0'), lpad(hex(x.key), 16, '0'))"
+    return F.expr(f"lower(array_join(transform({_sketch(keys)}, x -> {shown}), ''))")
 
 
 def _peeled(a: str, b: str) -> str:
-    """Digests in one of two arrays only, with the side (1 or -1), found from their sketches; NULL if peeling gets stuck."""
-    pure = (
-        "array_distinct(transform(filter(transform(s.cells, (x, c) -> named_struct('x', x, 'c', c, 'mix', "
-        f"IF(abs(x.n) = 1, {_mixed('x.key')}, 0L))), p -> abs(p.x.n) = 1 AND shiftright(p.mix, {CHECK_SHIFT}) = p.x.chk "
-        f"AND {_in_cell('p', 'p.c')}), p -> named_struct('key', p.x.key, 'mix', p.mix, 'side', p.x.n)))"
-    )
-    check = f"shiftright(e.mix, {CHECK_SHIFT})"
-    less = _let(
+    """Digests that one of two arrays only has, found from their sketches; NULL if peeling does not end with empty cells.
+
+    Those of ``b`` have all bits turned, so that they are negative.
+    """
+    less = "named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'mask', x.mask, 'bits', x.bits)"
+    cells = f"zip_with({_sketch(a)}, {_sketch(b)}, (x, y) -> {less})"
+    check = f"shiftright(x.key, {CHECK_BITS}) * {FACTOR}L % {MODULUS}L = (x.key & {(1 << CHECK_BITS) - 1}L)"
+    alone = f"filter(s.cells, x -> (x.n = 1 OR x.n = -1) AND (x.key & x.mask) = x.bits AND {check})"
+    pure = f"array_distinct(transform({alone}, x -> IF(x.n = 1, x.key, ~x.key)))"
+    plain = "(p ^ shiftright(p, 63))"
+    taken = _let(
         "own",
-        f"filter(pure, e -> {_in_cell('e', 'c')})",
-        "IF(size(own) = 0, x, named_struct('n', x.n - aggregate(own, 0, (a, e) -> a + e.side), "
-        f"'key', x.key ^ {_xor('own', 'e.key')}, 'chk', x.chk ^ {_xor('own', check)}))",
+        f"filter(pure, p -> ({plain} & x.mask) = x.bits)",
+        "IF(size(own) = 0, x, named_struct("
+        "'n', x.n - aggregate(own, 0, (a, p) -> IF(p < 0, a - 1, a + 1)), "
+        f"'key', x.key ^ aggregate(own, 0L, (a, p) -> a ^ {plain}), 'mask', x.mask, 'bits', x.bits))",
     )
-    found = "concat(s.found, transform(pure, e -> named_struct('key', e.key, 'side', e.side)))"
     step = _let(
         "pure",
         pure,
         "IF(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), "
-        f"named_struct('cells', transform(s.cells, (x, c) -> {less}), 'found', {found}, 'go', true))",
-    )
-    nothing = "CAST(array() AS ARRAY<STRUCT<key: BIGINT, side: INT>>)"
-    start = f"named_struct('cells', {_subtracted(a, b)}, 'found', {nothing}, 'go', true)"
-    empty = "forall(s.cells, x -> x.n = 0 AND x.key = 0 AND x.chk = 0)"
-    # Every step but the last finds a digest, and a sketch that can be peeled has fewer than CELLS.
-    return (
-        f"aggregate(sequence(1, {CELLS}), {start}, (s, i) -> IF(s.go, {step}, s), s -> IF({empty}, s.found, NULL))"
+        f"named_struct('cells', transform(s.cells, x -> {taken}), 'found', concat(s.found, pure), 'go', true))",
     )
+    start = f"named_struct('cells', {cells}, 'found', CAST(array() AS ARRAY<BIGINT>), 'go', true)"
+    empty = "forall(s.cells, x -> x.n = 0 AND x.key = 0)"
+    # Every step but the last finds a digest, and a sketch that can be peeled holds no more than CELLS.
+    return f"aggregate(sequence(1, {CELLS}), {start}, (s, i) -> IF(s.go, {step}, s), s -> IF({empty}, s.found, NULL))"
 
 
 def differences(pairs: DataFrame) -> DataFrame:
-    """Digests that only one side of a pair has: the other columns of ``pairs`` and found (key, side), in parts.
+    """Digests that only one side of a pair has: the other columns of ``pairs``, only_a and only_b, in parts.
 
-    ``pairs`` has arrays a and b of distinct digests. Side 1 is a, -1 is b. A
+    ``pairs`` has arrays a and b of distinct digests. A
     pair whose sketches cannot be peeled comes back in up to four parts for
     each time it was retried; parts without differences are left out. Each
     retry is a job over the rows that still need it.
@@ -132,13 +114,15 @@ def differences(pairs: DataFrame) -> DataFrame:
         tried = todo.withColumn("found", F.expr(_peeled("a", "b")))
         stuck = F.col("found").isNull()
         tried = kept(tried.select(*keys, *[F.when(stuck, F.col(c)).alias(c) for c in ("a", "b")], "found"), "tried")
-        done.append(tried.where(F.size("found") > 0).select(*keys, "found"))
+        sides = ("filter(found, k -> k >= 0) AS only_a", "transform(filter(found, k -> k < 0), k -> ~k) AS only_b")
+        done.append(tried.where(F.size("found") > 0).selectExpr(*keys, *sides))
         left = tried.where("found IS NULL")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
 
         def part(side: str) -> str:
-            return f"filter({side}, k -> (shiftright(k, {BITS * level}) & {2**BITS - 1}) = p) AS {side}"
+            shift = DIGEST_BITS + CHECK_BITS - BITS * (level + 1)
+            return f"filter({side}, k -> (shiftright(k, {shift}) & {2**BITS - 1}) = p) AS {side}"
 
         split = left.select(*keys, "a", "b", F.explode(F.sequence(F.lit(0), F.lit(2**BITS - 1))).alias("p"))
         todo = split.selectExpr(*keys, part("a"), part("b"))
@@ -173,7 +157,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     bucket.
     """
     spark = docs.sparkSession
-    bounds = _bounds(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(docs, buckets)
     dealt = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
     highest = sorted((r.bucket, r.top) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     # The bucket below b continues b; the lowest one is continued by the highest.
@@ -186,7 +171,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         copies.withColumnRenamed("target", "bucket").withColumn("copy", F.lit(True))
     )
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    led = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    # A bucket each, more or less, so that no task gets several by chance.
+    led = both.repartition(buckets, "bucket").select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.where(~F.col("copy")).drop("copy", "bucket")
 
 
@@ -212,7 +198,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     at.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    led = with_next(slim.withColumn("own", paragraphs(F.col("text"))), ["text", "own"])
+    led = with_next(slim.withColumn("own", paragraphs("text")), ["text", "own"])
     n_chars = F.char_length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(
@@ -225,7 +211,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "n_chars",
             F.sha2("edited", 256).alias("edited_sha256"),
             "own",
-            paragraphs(F.col("edited")).alias("edited_own"),
+            paragraphs("edited").alias("edited_own"),
             "next_own",
         ),
         "digests",
@@ -236,13 +222,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )).alias("other")
     pairs = base.select("row", F.col("own").alias("a"), sides).select("row", "a", "other.*")
 
-    def found(kind: str, side: int) -> Column:
-        matching = F.size(F.filter("found", lambda f: f["side"] == side))
-        return F.sum(F.when(F.col("kind") == kind, matching).otherwise(0))
+    def found(kind: str, side: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.size(side)).otherwise(0))
 
     counts = differences(pairs).groupBy("row").agg(
-        found("edited", 1).alias("n_removed"), found("edited", -1).alias("n_added"),
-        (found("next", 1) + found("next", -1)).alias("apart"),
+        found("edited", "only_a").alias("n_removed"), found("edited", "only_b").alias("n_added"),
+        (found("next", "only_a") + found("next", "only_b")).alias("apart"),
     )
     sized = base.select(
         "row", "doc_id", "n_chars", "edited_sha256", "own", "edited_own", F.size("next_own").alias("next_size")

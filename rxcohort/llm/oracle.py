@@ -217,10 +217,11 @@ FROM nodes AS n LEFT JOIN nodes AS p ON p.node = n.parent JOIN degrees ON degree
 
 
 def _digests(text: str) -> str:
-    """The distinct 60-bit paragraph digests of a text."""
+    """The distinct 43-bit paragraph digests of a text, each with its 20-bit check value."""
     parts = f"list_transform(regexp_extract_all({text}, '[^\\n]{{1,160}}[^\\n.!?]{{0,160}}[.!?\\n]*|\\n+'), lambda p: rtrim(p, chr(10)))"
-    number = "CAST('0x' || substr(md5(p), 1, 15) AS BIGINT)"
-    return f"list_distinct(list_transform(list_filter({parts}, lambda p: p <> ''), lambda p: {number}))"
+    number = "CAST('0x' || substr(md5(p), 1, 11) AS BIGINT) & 8796093022207"
+    digests = f"list_transform(list_filter({parts}, lambda p: p <> ''), lambda p: {number})"
+    return f"list_distinct(list_transform({digests}, lambda d: (d << 20) | (d * 1000003 % 1048573)))"
 
 
 # Likeness from whole sets of paragraphs; cells by grouping digests.
@@ -241,16 +242,15 @@ sets AS (
   FROM texts
 ),
 entries AS (
-  SELECT id, version, key, CAST('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 15) AS BIGINT) AS mix
-  FROM (SELECT id, 'a' AS version, unnest(a) AS key FROM sets UNION ALL SELECT id, 'e', unnest(e) FROM sets)
+  SELECT id, 'a' AS version, unnest(a) AS key FROM sets UNION ALL SELECT id, 'e', unnest(e) FROM sets
 ),
 cells AS (
-  SELECT id, version, 8 * block + ((mix >> (3 * block)) & 7) AS cell, count(*) AS n, bit_xor(key) AS keys, bit_xor(mix >> 28) AS checks
+  SELECT id, version, 8 * block + ((key >> (20 + 3 * block)) & 7) AS cell, count(*) AS n, bit_xor(key) AS keys
   FROM entries, (SELECT CAST(range AS INTEGER) AS block FROM range(3)) GROUP BY ALL
 ),
 shown AS (
-  SELECT id, version, string_agg(lpad(lower(hex(coalesce(n, 0) & 65535)), 4, '0') || lpad(lower(hex(coalesce(keys, 0))), 15, '0')
-                                 || lpad(lower(hex(coalesce(checks, 0))), 8, '0'), '' ORDER BY cell) AS print
+  SELECT id, version, string_agg(lpad(lower(hex(coalesce(n, 0) & 65535)), 4, '0') || lpad(lower(hex(coalesce(keys, 0))), 16, '0'),
+                                 '' ORDER BY cell) AS print
   FROM (SELECT id, version, CAST(range AS INTEGER) AS cell FROM sets, (VALUES ('a'), ('e')) AS v(version), range(24))
        LEFT JOIN cells USING (id, version, cell)
   GROUP BY id, version
