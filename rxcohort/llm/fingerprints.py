@@ -8,7 +8,7 @@ sketches are subtracted cell by cell, which leaves the digests that only one
 of the texts has, and these are peeled off: a cell with one digest left, as
 its check value tells, gives it away, it is taken out of its other cells, and
 so on. Where peeling gets stuck or does not end with empty cells, the digests
-of that comparison are dealt by two of their bits to four sketches, four times
+of that comparison are dealt by three of their bits to eight sketches, eight times
 the cells, and compared again, until all differences are found.
 
 Only SQL functions and DataFrame operations are used. All work on one row is
@@ -29,7 +29,7 @@ SLOTS = 1 << SLOT_BITS
 CELLS = BLOCKS * SLOTS
 DIGEST_BITS, CHECK_BITS = 43, 20
 FACTOR, MODULUS = 1_000_003, 1_048_573  # of the check value
-BITS = 2  # of a digest that deal it to one of four larger sketches, the highest ones first
+BITS = 3  # of a digest that deal it to one of eight larger sketches, the highest ones first
 BUCKETS = 4  # of ids, for each shuffle partition
 
 # A line, cut after the first end of a sentence past 160 characters (320 without one), and what ends it.
@@ -104,7 +104,7 @@ def differences(pairs: DataFrame) -> DataFrame:
     """Digests that only one side of a pair has: the other columns of ``pairs``, only_a and only_b, in parts.
 
     ``pairs`` has arrays a and b of distinct digests. A
-    pair whose sketches cannot be peeled comes back in up to four parts for
+    pair whose sketches cannot be peeled comes back in up to eight parts for
     each time it was retried; parts without differences are left out. Each
     retry is a job over the rows that still need it.
     """
@@ -171,8 +171,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         copies.withColumnRenamed("target", "bucket").withColumn("copy", F.lit(True))
     )
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    # A bucket each, more or less, so that no task gets several by chance.
-    led = both.repartition(buckets, "bucket").select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    led = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.where(~F.col("copy")).drop("copy", "bucket")
 
 
