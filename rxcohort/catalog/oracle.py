@@ -238,6 +238,12 @@ FROM table_2x2
 
 
 def all_oracles() -> dict[str, str]:
+    found = _on_tables()
+    stored = ("new_user_cohort", "nsaid_exposures", "comparative_safety")
+    return found | {f"stored_{name}": found[name] for name in stored}
+
+
+def _on_tables() -> dict[str, str]:
     return {
         "core_row_counts": _sql("""
 SELECT * FROM (

@@ -11,7 +11,7 @@ from rxcohort.operators import codelists, cohorts, describe, model, safety
 from rxcohort.operators import utilization as use
 from rxcohort.schema import Cdm
 from rxcohort.sources import proxy
-from rxcohort.sources.store import core_row_counts
+from rxcohort.sources.store import core_row_counts, scratch_store, stored
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -122,6 +122,17 @@ def _on_proxy(operator: Callable[[Cdm], DataFrame]) -> Callable[[SparkSession, s
     return lambda spark, sf_dir: _rounded(operator(proxy.ProxyCdm(spark, sf_dir)))
 
 
+# Operators again on tables that were written to a store first, where a code list reaches the Parquet reader.
+ON_STORE = {f"stored_{name}": ON_TABLES[name] for name in ("new_user_cohort", "nsaid_exposures", "comparative_safety")}
+
+
+def _on_store(operator: Callable[[Cdm], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(operator(stored(spark, proxy.ProxyCdm(spark, sf_dir), scratch_store(spark))))
+
+    return query
+
+
 def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = proxy.ProxyCdm(spark, sf_dir)
     tables = {name: getattr(t, name) for name in ("person", "condition_occurrence", "drug_exposure")}
@@ -129,4 +140,8 @@ def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"core_row_counts": _row_counts, **{name: _on_proxy(op) for name, op in ON_TABLES.items()}}
+    return {
+        "core_row_counts": _row_counts,
+        **{name: _on_proxy(op) for name, op in ON_TABLES.items()},
+        **{name: _on_store(op) for name, op in ON_STORE.items()},
+    }

@@ -92,7 +92,8 @@ def with_sex(rows: DataFrame, person: DataFrame, concept: DataFrame) -> DataFram
 def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
     """Cohort members per sex, with the percentage of the whole cohort: sex, patients, pct.
 
-    Members are counted by sex id first; names meet those few rows only.
+    Members are counted by sex id first; names meet those few rows only, so
+    nothing needs to be known of the ids before the query runs.
     """
     sexes = person.select("person_id", "gender_concept_id")
     counted = (
@@ -102,8 +103,9 @@ def sex_breakdown(cohort: DataFrame, person: DataFrame, concept: DataFrame) -> D
         .agg(F.count("*").alias("n"))
         .withColumn("size", F.sum("n").over(Window.partitionBy()))  # one row per sex id
     )
+    names = concept.select(F.col("concept_id").alias("gender_concept_id"), "concept_name")
     by_sex = (
-        with_sex(counted, person, concept)
+        counted.join(names, "gender_concept_id")
         .groupBy(F.col("concept_name").alias("sex"))
         .agg(F.sum("n").alias("patients"), F.max("size").alias("size"))
     )

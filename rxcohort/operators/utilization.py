@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -90,47 +90,61 @@ def _marked(concept: DataFrame, keywords: Iterable[str]) -> DataFrame:
     """The dictionary as what a person may have taken: drug_concept_id, taken (target, lead).
 
     Ids of one name share its smallest id as lead; drugs without a name share
-    a NULL lead. Target ids are told apart by name.
+    a NULL lead. Target ids are told apart by name. Leads are counted by name
+    before anything moves, so a name with very many ids is one row of the join.
     """
-    unnamed = F.when(F.col("concept_name").isNull(), F.col("concept_id"))
-    lead = F.min("concept_id").over(Window.partitionBy("concept_name", unnamed))
     target = F.coalesce(contains_any(F.col("concept_name"), keywords), F.lit(False))
-    lead = F.when(F.col("concept_name").isNotNull() & ~target, lead)
-    return concept.select(
-        F.col("concept_id").alias("drug_concept_id"), F.struct(target.alias("target"), lead.alias("lead")).alias("taken")
+    others = concept.where(F.col("concept_name").isNotNull() & ~target)
+    leads = others.groupBy("concept_name").agg(F.min("concept_id").alias("lead"))
+    return concept.join(leads, "concept_name", "left").select(
+        F.col("concept_id").alias("drug_concept_id"), F.struct(target.alias("target"), "lead").alias("taken")
     )
 
 
+def _ever(taken: DataFrame) -> DataFrame:
+    """What each user of the target took at any time, the target included: taken, one row per person and drug."""
+    users = taken.groupBy("person_id").agg(F.bool_or("taken.target").alias("user"), F.collect_set("taken").alias("all"))
+    return users.where("user").select(F.explode("all").alias("taken"))
+
+
+def _within(taken: DataFrame, days: int) -> DataFrame:
+    """As ``_ever``, of other drugs only those begun from the first day on the target to ``days`` later.
+
+    A person's days on a drug are first reduced to the first and last one of
+    each stretch of ``days + 1`` calendar days, and those on the target to the
+    first. The days asked for are as many, so they either end a stretch or
+    begin the next: a stretch has one of them if it ends on or after the first
+    day on the target and begins no later than ``days`` after it. What is left
+    of a person is bounded by drugs and calendar, not by prescriptions, and is
+    never gathered in one value.
+    """
+    stretch = F.when(~F.col("taken.target"), F.floor(F.unix_date("day") / (days + 1)))
+    spans = taken.groupBy("taken", stretch.alias("stretch"), "person_id").agg(
+        F.min("day").alias("begin"), F.max("day").alias("last")
+    )
+    target = F.col("taken.target")
+    first = F.min(F.when(target, F.col("begin"))).over(Window.partitionBy("person_id"))
+    user = F.max(target.cast("int")).over(Window.partitionBy("person_id")) == 1
+    timed = spans.select("person_id", "taken", "begin", "last", first.alias("first"), user.alias("user"))
+    near = target | ((F.col("last") >= F.col("first")) & (F.col("begin") <= F.date_add("first", days)))
+    return timed.where(F.col("user") & near).select("person_id", "taken").distinct().select("taken")
+
+
 def _co_drugs(
     drug_exposure: DataFrame, concept: DataFrame, keywords: Iterable[str], n: int, days: int | None, unnamed: bool
 ) -> DataFrame:
     """Most used other drugs of a target's users: drug, patients, size (the number of users).
 
     The exposures are read once: each row becomes what it is to the question
-    (the target, or another drug's lead id), each person a set of these, at
-    most the dictionary, combined before the shuffle. Persons without the
-    target go before anything is moved again, and the cohort size is counted
-    from the same rows.
+    (the target, or another drug's lead id), and these are reduced to one per
+    person and drug (or stretch of days) before the shuffle. The cohort size
+    is counted from the same rows.
     """
     concept = concept.select("concept_id", "concept_name")
     marked = broadcast_if_small(_marked(concept, keywords))
     rows = drug_exposure.where(HAS_PERSON).select("person_id", "drug_concept_id", F.col(START).cast("date").alias("day"))
     taken = rows.join(marked, "drug_concept_id")
-    if days is None:
-        users = taken.groupBy("person_id").agg(F.bool_or("taken.target").alias("user"), F.collect_set("taken").alias("all"))
-    else:
-        dated = F.struct("taken.target", "taken.lead", "day")
-        first = F.min(F.when(F.col("taken.target"), F.col("day")))
-        per_person = taken.groupBy("person_id").agg(
-            F.bool_or("taken.target").alias("user"), first.alias("first"), F.collect_set(dated).alias("dated")
-        )
-        near = F.filter("dated", lambda t: (t["day"] >= F.col("first")) & (t["day"] <= F.date_add("first", days)))
-        undated = F.transform(near, lambda t: F.struct(t["target"].alias("target"), t["lead"].alias("lead")))
-        itself = F.array(F.struct(F.lit(True).alias("target"), F.lit(None).cast("bigint").alias("lead")))
-        users = per_person.select("person_id", "user", F.array_distinct(F.concat(undated, itself)).alias("all"))
-    counts = (
-        users.where("user").select(F.explode("all").alias("taken")).groupBy("taken").agg(F.count("*").alias("patients"))
-    )
+    counts = (_ever(taken) if days is None else _within(taken, days)).groupBy("taken").agg(F.count("*").alias("patients"))
     counts = counts.select("taken.target", "taken.lead", "patients")
     if not unnamed:
         counts = counts.where("target OR lead IS NOT NULL")
@@ -210,21 +224,29 @@ def first_ingredient(exposures: DataFrame) -> DataFrame:
 def switching(exposures: DataFrame, days: int = 365) -> DataFrame:
     """Persons who start another ingredient within ``days`` after their first day: n, switched, pct.
 
-    Repeat dispensings on a day are merged first, so a person's window holds at
-    most one row per ingredient and day; the exposures are not joined to
-    themselves.
+    Of a person's days on an ingredient the first and last one of each stretch
+    of ``days + 1`` calendar days are kept, which is merged before the shuffle
+    and bounded by the calendar however often a drug is dispensed. That is
+    enough: another ingredient begun after the first day shows by the first
+    day of a stretch, and one begun on the first day, but second by alphabet,
+    by a later day of the same stretch, which is at most ``days`` away, or by
+    the first day of the next.
     """
-    dated = exposures.where(HAS_PERSON).select("person_id", "ingredient", "start_date").distinct()
-    first = _start().over(Window.partitionBy("person_id"))
-    moved = (
-        (F.col("ingredient") != F.col("first.ingredient"))
-        & (F.col("start_date") > F.col("first.start_date"))
-        & (F.col("start_date") <= F.date_add(F.col("first.start_date"), days))
-    )
-    persons = dated.withColumn("first", first).groupBy("person_id").agg(
-        F.coalesce(F.bool_or(moved), F.lit(False)).alias("moved")
+    day = F.unix_date("start_date")
+    spans = (
+        exposures.where(HAS_PERSON)
+        .groupBy("ingredient", F.floor(day / (days + 1)).alias("stretch"), "person_id")
+        .agg(F.min(day).alias("begin"), F.max(day).alias("last"))
     )
-    counts = persons.agg(F.count("*").alias("n"), F.count_if("moved").alias("switched"))
+    dated = F.when(F.col("begin").isNotNull(), F.struct("begin", "ingredient", "last"))
+    persons = spans.groupBy("person_id").agg(F.collect_list(dated).alias("spans")).withColumn("first", F.array_min("spans"))
+
+    def another(span: Column) -> Column:
+        after = F.when(span["begin"] > F.col("first.begin"), span["begin"]).when(span["last"] > span["begin"], span["last"])
+        return (span["ingredient"] != F.col("first.ingredient")) & (after <= F.col("first.begin") + days)
+
+    moved = F.coalesce(F.exists("spans", another), F.lit(False))
+    counts = persons.agg(F.count("*").alias("n"), F.count_if(moved).alias("switched"))
     return counts.withColumn("pct", percent(F.col("switched"), F.col("n")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from types import SimpleNamespace
@@ -73,6 +74,27 @@ def _swap(spark: SparkSession, fresh: str, path: str) -> None:
         old.remove()
 
 
+def scratch_store(spark: SparkSession) -> str:
+    """A new store for one job in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a
+    cluster there is nothing safe to fall back on, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="rxcohort-")
+    return f"{folder.rstrip('/')}/store-{uuid4().hex}"
+
+
+def stored(spark: SparkSession, tables: Cdm, store: str) -> Cdm:
+    """``tables`` written to a store, clustered as every table of a store is, and read back from there."""
+    for name in COLUMN_TYPES:
+        write_table(getattr(tables, name), store, name)
+    return read_cdm(spark, store)
+
+
 def table_path(store: str, table: str) -> str:
     """Tables are stored under their lower-case name: names are case-insensitive."""
     return f"{store.rstrip('/')}/{table.lower()}"

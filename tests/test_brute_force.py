@@ -190,6 +190,31 @@ def test_switching(tables):
     assert got == dict(counts)
 
 
+@pytest.mark.parametrize("days", [0, 1, 30, 364, 365, 400, 2000])
+def test_switching_within_any_number_of_days(tables, days):
+    x = tables
+    label = lambda d: "ibuprofen" if matches(d, ["ibuprofen"]) else "naproxen"
+    rows = [(p, s, label(d)) for p, d, s, _, _ in target_rows(x)]
+    start = {p: min(((s, i) for q, s, i in rows if q == p and s is not None), default=(None, None)) for p, _, _ in rows}
+    moved = {p for p, s, i in rows if s is not None and i != start[p][1] and 0 < s - start[p][0] <= days}
+    got = use.switching(use.ingredient_exposures(x.t.drug_exposure, x.t.concept), days).first()
+    assert tuple(got)[:2] == (len(start), len(moved))
+
+
+@pytest.mark.parametrize("days", [0, 1, 30, 90, 364, 2000])
+def test_other_drugs_within_any_number_of_days(tables, days):
+    x = tables
+    members = {r[0] for r in target_rows(x)}
+    index = first((p, s) for p, _, s, _, _ in target_rows(x))
+    found = defaultdict(set)
+    for p, d, s, *_ in x.rx:
+        if p in members and d in NAMES and not matches(d, TARGET_NAMES):
+            if s is not None and index[p] is not None and 0 <= s - index[p] <= days:
+                found[NAMES[d]].add(p)
+    got = use.concomitant_by_id(x.t.drug_exposure, x.t.concept, days=days).collect()
+    assert {r["drug"]: (r["patients"], r["pct"]) for r in got} == {d: (len(ps), 100 * len(ps) / len(members)) for d, ps in found.items()}
+
+
 def test_safety(tables):
     x = tables
     index = first((p, s) for p, _, s, _, _ in target_rows(x))

@@ -7,7 +7,7 @@ import pytest
 from tables import values
 
 from rxcohort.catalog.queries import ON_TABLES
-from rxcohort.operators import codelists, cohorts, describe, safety
+from rxcohort.operators import codelists, cohorts, describe, model, safety
 from rxcohort.operators import utilization as use
 from rxcohort.plans import lookup
 from rxcohort.sources import proxy
@@ -215,6 +215,74 @@ def test_clustered_store_skips_what_a_scattered_list_does_not_need(spark, tmp_pa
     assert read < 0.35 * n
 
 
+def test_stored_query_lets_the_code_list_reach_the_reader(spark, tmp_path):
+    """The registered query on stored tables: the list is in the scan, and of two ids in two clusters few rows are read."""
+    cdm = parquet_store.stored(spark, proxy.ProxyCdm(spark, "/root/testdata/sf0.1"), str(tmp_path))
+    exposed = cohorts.new_user_cohort(cdm.drug_exposure, codelists.named(cdm.concept, proxy.TARGET))
+    with settings(spark, maxMetadataStringLength="100000"):
+        scan = next(line for line in plan(exposed).split("\n") if "FileScan" in line)
+    assert "In(drug_concept_id" in scan and "GreaterThanOrEqual(drug_concept_id" in scan
+    total = cdm.drug_exposure.count()
+    # 635 product ids scattered over the whole dictionary: every page holds some, so all are read.
+    assert rows_read(exposed) <= total
+    # One narrow class of products, as vocabularies have them: a few pages.
+    narrow = spark.createDataFrame([(10_000_000 + i,) for i in (*range(50, 80), *range(19_000, 19_030))], "concept_id bigint")
+    few = lookup.keep_codes(cdm.drug_exposure, "drug_concept_id", narrow)
+    assert few.count() > 0 and rows_read(few) < 0.35 * total
+
+
+def has_window(df):
+    return "Window" in plan(df)
+
+
+def test_switching_needs_no_window(spark, no_small_tables):
+    assert not has_window(ON_TABLES["switching"](proxy.ProxyCdm(spark, SMALL)))
+
+
+def test_dictionary_is_not_sorted_by_name(spark, no_small_tables):
+    concept = proxy.ProxyCdm(spark, SMALL).concept
+    marked = use._marked(concept, proxy.TARGET)
+    assert not has_window(marked)
+    leads = {r["concept_name"]: r["low"] for r in concept.groupBy("concept_name").agg({"concept_id": "min"}).toDF("concept_name", "low").collect()}
+    names = dict(concept.select("concept_id", "concept_name").collect())
+    for r in marked.collect():
+        hit = any(k in names[r.drug_concept_id] for k in proxy.TARGET)
+        assert r.taken == (hit, None if hit else leads[names[r.drug_concept_id]])
+
+
+def jobs(spark, name, build):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        made = build()
+        return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_sexes_of_a_cohort_are_not_listed_beforehand(spark):
+    t = proxy.ProxyCdm(spark, SMALL)
+    cohort = cohorts.outcome_cohort(t.condition_occurrence, proxy.OUTCOME)
+    df, ran = jobs(spark, "sexes", lambda: describe.sex_breakdown(cohort, t.person, t.concept))
+    assert ran == 0 and df.count() == 2
+
+
+def test_study_runs_few_jobs(spark):
+    t = proxy.ProxyCdm(spark, SMALL)
+    _, ran = jobs(spark, "study", lambda: model.comparative_safety(t, proxy.TARGET, proxy.COMPARATOR, proxy.OUTCOME).collect())
+    assert ran <= 20  # 32 with a fitted estimator
+
+
+def test_hot_person_is_reduced_before_it_is_gathered(spark):
+    """A person with very many days on a few drugs: rows by person are bounded by drugs and calendar."""
+    rows = spark.range(0, 60_000, 1, 8).selectExpr(
+        "1 AS person_id", "IF(id % 2 = 0, named_struct('target', true, 'lead', CAST(NULL AS BIGINT)), "
+        "named_struct('target', false, 'lead', id % 3)) AS taken", "date_add(DATE '2000-01-01', CAST(id % 3000 AS INT)) AS day",
+    )
+    near = use._within(rows, 90)
+    assert near.count() == 4
+    assert "collect" not in plan(near)
+
+
 def test_cost_of_a_row_does_not_grow_with_the_list(spark, tmp_path):
     """A scan of rows with 600 or 4,000 scattered ids takes about as long as with 12."""
     spark.range(0, 6_000_000, 1, 8).selectExpr("id * 7919 % 500000 AS code").write.parquet(str(tmp_path / "facts"))
