@@ -58,6 +58,11 @@ class _files:
         self.system.delete(self.at, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``, if anything."""
+    _files(spark, path).remove()
+
+
 def _swap(spark: SparkSession, fresh: str, path: str) -> None:
     """Put a finished folder in the place of another, which stays readable until then."""
     new, current, old = (_files(spark, p) for p in (fresh, path, f"{fresh}-old"))

@@ -164,6 +164,41 @@ def test_line_breaks_inside_fields(spark, place):
     assert values(parquet_store.read_table(spark, place.store, "note")) == [(1, "two\nlines"), (2, "one")]
 
 
+def test_each_line_is_parsed_once(spark, place):
+    """Once the text is written, a table is typed, clustered and stored without its CSV file."""
+    put(place.csv / "drug_exposure.csv", DRUGS)
+    put(place.csv / "person.csv", "person_id,gender_concept_id,year_of_birth\n1,8507,1960\n")
+    raw = csv_source.raw_csv(spark, str(place.csv / "drug_exposure.csv"))
+    scan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert scan(raw).count("FileScan csv") == 1
+    with csv_source.parsed_once(raw, place.store, "drug_exposure") as text:
+        (place.csv / "drug_exposure.csv").unlink()
+        assert "FileScan csv" not in scan(text)
+        parquet_store.write_table(csv_source.typed(text, "drug_exposure"), place.store, "drug_exposure")
+    assert parquet_store.read_table(spark, place.store, "drug_exposure").count() == 3
+    # A table with declared columns only, and no ranges to find, goes from CSV to the store directly.
+    small = csv_source.raw_csv(spark, str(place.csv / "person.csv"))
+    with csv_source.parsed_once(small, place.store, "person") as text:
+        assert text is small
+    left = [p.name for p in (place.csv.parent / "store").iterdir()]
+    assert left == ["drug_exposure"]
+
+
+def test_types_of_undeclared_columns(spark):
+    columns = {
+        "i": (["1", "-20", None], "int"), "l": (["1", "9999999999", None], "bigint"), "d": (["1", "2.5", "1e3"], "double"),
+        "day": (["2000-01-31", "1999-02-28", None], "date"), "at": (["2000-01-31", "2000-01-31 10:00:00", None], "timestamp"),
+        "b": (["true", "FALSE", None], "boolean"), "s": (["1", "x", None], "string"), "nothing": ([None] * 3, "string"),
+        "no day": (["2000-02-31", "2000-01-01", None], "string"), "pad": ([" 1", "2", None], "string"),
+        "dot.ted": (["1", "2", "3"], "int"), "many": (["1", "99999999999999999999", None], "double"),
+    }
+    rows = list(zip(*[v for v, _ in columns.values()]))
+    frame = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+    assert csv_source.inferred(frame, list(columns)) == {c: kind for c, (_, kind) in columns.items()}
+    assert dict(csv_source.typed(frame, "note").dtypes) == {c: kind for c, (_, kind) in columns.items()}
+    assert csv_source.inferred(frame.limit(0), ["i"]) == {"i": "string"}
+
+
 def test_empty_directory(spark, place):
     place.csv.mkdir(parents=True)
     assert load(spark, place) == {}
