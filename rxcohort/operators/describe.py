@@ -85,7 +85,7 @@ def age_summary(cohort: DataFrame, person: DataFrame) -> DataFrame:
 
 def with_sex(rows: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
     """Rows with a known ``gender_concept_id``, and its concept_name."""
-    used = person.select(F.col("gender_concept_id").alias("concept_id")).distinct()
+    used = person.select(F.col("gender_concept_id").alias("concept_id"))
     return add_names(rows, "gender_concept_id", used, concept)
 
 

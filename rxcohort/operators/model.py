@@ -6,8 +6,7 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from rxcohort.operators.safety import dummy_encode, group_risks, risk_ratio_ci, study_cells
@@ -42,11 +41,10 @@ def _exp(x: float) -> float | None:
         return None
 
 
-def _local_sums(patterns: pa.Table) -> Callable[[np.ndarray], Sums]:
+def _local_sums(patterns: list[Row]) -> Callable[[np.ndarray], Sums]:
     """Log likelihood, gradient and normal equations at given coefficients, from patterns at hand."""
-    columns = {c: patterns[c].to_numpy().astype(float) for c in (*COVARIATES, "outcome", "weight")}
-    x = np.column_stack([np.ones(patterns.num_rows), *(columns[c] for c in COVARIATES)])
-    y, weight = columns["outcome"], columns["weight"]
+    x = np.array([[1.0, *(r[c] for c in COVARIATES)] for r in patterns], float)
+    y, weight = (np.array([r[c] for r in patterns], float) for c in ("outcome", "weight"))
 
     def sums(beta: np.ndarray) -> Sums:
         eta = x @ beta
@@ -114,11 +112,17 @@ def _varied(patterns: DataFrame) -> bool:
     return all(patterns.agg(*[F.coalesce(F.max(c) > F.min(c), F.lit(False)) for c in (*COVARIATES, "outcome")]).first())
 
 
+def _few(groups: DataFrame) -> list[Row] | None:
+    """The rows of an aggregate, if they are few: its last stage is then a task or two, and reading it is one job."""
+    rows = groups.limit(PATTERNS_PER_TASK + 1).collect()
+    return rows if len(rows) <= PATTERNS_PER_TASK else None
+
+
 def _fit(patterns: DataFrame) -> tuple:
     """Counted as small, the patterns are brought here and fitted without another job; else each step is one."""
-    few = patterns.limit(PATTERNS_PER_TASK + 1).toArrow()
-    if few.num_rows <= PATTERNS_PER_TASK:
-        differ = all(len(few[c].unique()) > 1 for c in (*COVARIATES, "outcome"))
+    few = _few(patterns)
+    if few is not None:
+        differ = all(len({r[c] for r in few}) > 1 for c in (*COVARIATES, "outcome"))
         return _newton(_local_sums(few)) if differ else NO_ESTIMATE
     kept = patterns.coalesce(CELL_PARTITIONS).persist()
     try:
@@ -152,10 +156,11 @@ def adjusted_odds_ratio(rows: DataFrame, arms: Sequence[str] = ARMS, weight: str
 
 def _few_cells(cells: DataFrame) -> DataFrame | None:
     """Cells as local rows in one partition, if they are few, so that what is derived from them needs no shuffle."""
-    few = cells.limit(PATTERNS_PER_TASK + 1).toArrow()
-    if few.num_rows > PATTERNS_PER_TASK:
+    few = _few(cells)
+    if few is None:
         return None
-    return cells.sparkSession.createDataFrame(few, cells.schema)
+    schema = ", ".join(f"{name} {kind}" for name, kind in cells.dtypes)
+    return local_rows(cells.sparkSession, schema, few)
 
 
 def study_estimates(

@@ -123,15 +123,16 @@ def tag_codes(facts: DataFrame, key: str, codes: DataFrame) -> DataFrame:
     return facts.where(_listed(key, few)).join(F.broadcast(listed), key)
 
 
-def add_names(rows: DataFrame, key: str, ids: DataFrame, concept: DataFrame) -> DataFrame:
-    """Inner join that adds concept_name, for a ``key`` that takes the few values in ``ids``.
-
-    A shuffled join on so few keys would put all rows into as few partitions,
-    so the dictionary is cut down to these ids, which bounds what is broadcast.
+def add_names(rows: DataFrame, key: str, used: DataFrame, concept: DataFrame) -> DataFrame:
+    """Inner join that adds concept_name, for a ``key`` that takes the few values in ``used``.
+
+    A shuffled join on so few keys would put all rows into as few partitions.
+    A dictionary of checked size is broadcast; a larger one is cut down to the
+    ids in use when the query runs, and adaptive execution broadcasts what is
+    left of it once it has seen its size. Only the dictionary is measured
+    here, ``used`` is not read.
     """
     names = concept.select(F.col("concept_id").alias(key), "concept_name")
-    few = _few(_ids(ids, key))
-    if few is None:
-        return rows.join(broadcast_if_small(names), key)
-    listed = _listed(key, few)
-    return rows.where(listed).join(F.broadcast(names.where(listed)), key)
+    if fits(names):
+        return rows.join(F.broadcast(names), key)
+    return rows.join(names.join(used.select(F.col("concept_id").alias(key)).distinct(), key, "left_semi"), key)

@@ -4,6 +4,7 @@ import time
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 from tables import values
 
 from rxcohort.catalog.queries import ON_TABLES
@@ -266,6 +267,17 @@ def test_sexes_of_a_cohort_are_not_listed_beforehand(spark):
     assert ran == 0 and df.count() == 2
 
 
+def test_study_does_not_read_persons_beforehand(spark, tmp_path):
+    """A study is planned without its persons: they may be gone by then."""
+    t = proxy.ProxyCdm(spark, SMALL)
+    broken = t.person.withColumn("gender_concept_id", F.raise_error(F.lit("read")).cast("bigint"))
+    cohort = cohorts.outcome_cohort(t.condition_occurrence, proxy.OUTCOME)
+    for build in (safety.comparative_rows, safety.comparative_cells):
+        df = build(cohort.withColumn("grp", F.lit("NSAID")), broken, t.condition_occurrence, t.concept, proxy.OUTCOME)
+        with pytest.raises(Exception, match="read"):
+            df.collect()
+
+
 def test_study_runs_few_jobs(spark):
     t = proxy.ProxyCdm(spark, SMALL)
     _, ran = jobs(spark, "study", lambda: model.comparative_safety(t, proxy.TARGET, proxy.COMPARATOR, proxy.OUTCOME).collect())
