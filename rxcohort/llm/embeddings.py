@@ -87,7 +87,14 @@ def train(x: np.ndarray, lists: int = LISTS) -> Quantizer:
 
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    return _normed(flat.reshape(len(column), -1))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. They are first divided by a power of two near their largest part, so nothing overflows or vanishes."""
+    _, power = np.frexp(np.abs(x).max(1))
+    # Two steps, as the power itself may be out of range.
+    x = np.ldexp(np.ldexp(x, -(power // 2)[:, None]), -(power - power // 2)[:, None])
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -96,10 +103,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     whole = F.transform("embedding", lambda v: v.cast("double"))
     plain = vectors.where("label is not null and embedding is not null and vec_id is not null and size(embedding) > 0")
     checked = plain.select("row", F.struct(F.col("label"), F.size("embedding").alias("dim")).alias("group"), whole.alias("x"))
-    top = F.array_max(F.transform("x", F.abs))  # norms of such sizes neither overflow nor vanish
-    return checked.where(
-        ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (top > 0) & (top < 1e150) & (top > 1e-150)
-    )
+    unfit = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return checked.where(~unfit & F.exists("x", lambda v: v != 0))
 
 
 def _placed(vectors: DataFrame, models: dict[int, Quantizer], distance: float) -> DataFrame:
@@ -191,7 +196,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, lists: int = LISTS
     models = {}
     for dim, xs in by_dim.items():
         x = np.array(xs, np.float64)
-        models[dim] = train(x / np.sqrt((x**2).sum(1))[:, None], lists)
+        models[dim] = train(_normed(x), lists)
     for row in fit_on.select(F.col("group.dim").alias("dim")).distinct().collect():
         if row.dim not in models:  # a dimension too rare for the sample: one list, one code word
             width = -(-row.dim // SUBSPACES)

@@ -14,7 +14,7 @@ distributed rank.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
@@ -36,27 +36,28 @@ CACHED = 400_000  # words whose ids a worker remembers
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def public_ranks() -> str:
-    """Where the rank file of the 50,257-id byte-level BPE lies on this machine."""
+def public_vocabulary() -> str:
+    """Where the tokenizer file of the 50,257-id byte-level BPE lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+# White space other than a single blank or line feed between two words.
+_RUNS = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 
 class Words(dict):
     """From a word, as ``ids`` cuts them, to its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode = coder.encode_ordinary
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def coded(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.coded(word if word[0] == "\n" else " " + word)
@@ -65,25 +66,22 @@ class Words(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text.
+        """Ids of a whole text, as the tokenizer gives them.
 
-        The tokenizer never joins a character with a white-space character
-        after it, so a text may be cut before every single space or newline
-        between words, and ids looked up word by word. Texts with other runs
-        of white space, and strings that would be special tokens, which are
-        ordinary text here, are encoded whole.
+        The tokenizer joins nothing to a single blank or line feed after it, so
+        a text that has no other white space is cut before these, and ids are
+        looked up word by word. Texts with any other white space, or with one
+        of the tokenizer's added tokens, go to the tokenizer whole.
         """
-        words = text.replace("\n", " \n").split(" ")
-        if len(words) != len(text.split()) or "" in words:
+        if not text or _RUNS.search(text) or any(token in text for token in self.special):
             return self.coded(text)
-        first = words.pop(0)
-        head = self[first] if first[0] == "\n" else self.coded(first)
-        return head + b"".join(map(self.__getitem__, words))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.coded(first) + b"".join(map(self.__getitem__, words))
 
 
 def token_pieces(
     docs: DataFrame,
-    ranks: Callable[[], str] = public_ranks,
+    vocabulary: Callable[[], str] = public_vocabulary,
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     doc_id: str = "doc_id",
@@ -93,11 +91,14 @@ def token_pieces(
 
     A document is the ids of its whole text (null: empty) and ``end_id``. Only
     those longer than the capacity are cut; all pieces but the first are full.
-    ``ranks`` names the rank file where it runs, in the worker.
+    ``vocabulary`` names the tokenizer file where it runs, in the worker; its
+    own settings hold, so an added token in a text is that token. Null ids and
+    repeated rows are cut like any others, an empty table gives an empty table,
+    and other columns are not looked at.
     """
 
     def rows(batches: Iterator) -> Iterator:
-        coder = held(("words", ranks()), lambda: Words(ranks()))
+        coder = held(("words", vocabulary()), lambda: Words(vocabulary()))
         end = np.array([end_id], "<u4").tobytes()
         for batch in in_slices(batches):
             out = []

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def token_counts(
     """
 
     def rows(batches: Iterator) -> Iterator:
-        trie, known = held("trie", lambda: (Trie(pieces()), {}))
+        trie, known = held(("trie", REMEMBERED, key), lambda: (Trie(pieces()), {}))
         for batch in in_slices(batches):
             texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
             own = [set(words) for words in texts]
@@ -112,5 +114,7 @@ def token_counts(
                 ["doc_id", "n_words", "n_distinct", "n_tokens"],
             )
 
+    # Workers are used again by other jobs, perhaps with other pieces.
+    key = sha256(cloudpickle.dumps(pieces)).hexdigest()
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return in_small_batches(chosen).mapInArrow(rows, "doc_id long, n_words long, n_distinct long, n_tokens long")

@@ -59,6 +59,18 @@ def test_edges(spark):
     assert embeddings.near_duplicates(table(spark, [])).collect() == []
 
 
+def test_any_magnitude_links(spark):
+    """Vectors of doubles from the smallest to the largest numbers there are."""
+    tiny = 5e-324
+    sizes = [1.0, 1e151, 1e-151, 1e300, 1e-300, 8.9e307]
+    rows = [(n, [s, 2 * s, -s], 0) for n, s in enumerate(sizes)]
+    rows += [(100, [tiny, 2 * tiny, -tiny], 0), (101, [tiny, 0.0, 0.0], 0), (102, [1e308, 0.0, 1e-308], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    group = [*range(len(sizes)), 100]
+    assert got == {n: (len(group) - 1, 0) for n in group} | {101: (1, 101), 102: (1, 101)}
+
+
 def test_bounds_lose_no_pair():
     """Probes and code distances never rule out a partner, however coarse the codes."""
     pick = np.random.default_rng(1)

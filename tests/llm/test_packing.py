@@ -1,8 +1,8 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
-import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.tables import EDGES, docs
@@ -11,13 +11,8 @@ from tokenizers import Tokenizer
 from rxcohort.llm import packing
 
 
-def tokenizer():
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    return own
-
-
-TOKENIZER, WORDS = tokenizer(), packing.Words(packing.public_ranks())
+TOKENIZER = Tokenizer.from_file(packing.public_vocabulary())  # with the file's own settings
+WORDS = packing.Words(packing.public_vocabulary())
 
 
 def plain_pieces(text, capacity):
@@ -48,6 +43,15 @@ def test_ids_equal_those_of_the_tokenizer(text):
     assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == want
 
 
+def test_ids_of_many_short_texts():
+    """White space of all kinds, added tokens and contractions beside each other."""
+    pick, parts = random.Random(7), ["a", "b\tc", " ", " ", "\n", "\n\n", "\t", "  ", "don't", "<|endoftext|>", "é", "12", "\x1c", "\u2028", "\xa0"]
+    for _ in range(60_000):
+        text = "".join(pick.choices(parts, k=pick.randrange(1, 9)))
+        assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(WORDS.ids("x<|endoftext|>"), "<u4").tolist()[-1] == 50256
+
+
 def test_whole_documents_round_trip(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack_documents(table).collect()

@@ -45,3 +45,16 @@ def test_edges_and_forgetting(spark, monkeypatch):
     assert counts[1, 0] == counts[2, 0] == counts[3, 0] == 0
     assert counts[7, 30_000] % 30_000 == 0 and counts[4, 4] == counts[5, 4] == counts[None, 4]
     assert token_counts.token_counts(docs(spark, [])).collect() == []
+
+
+def test_two_vocabularies_in_one_session(spark):
+    """A worker that is used again counts with the pieces it is given."""
+    table = docs(spark, [(1, "abab ab abab")]).coalesce(1)
+
+    def counted(pieces):
+        return [r.n_tokens for r in token_counts.token_counts(table, lambda: pieces).collect()]
+
+    other = {MARK: -1.0, "a": -1.0, "b": -1.0}
+    for pieces in (PIECES, other, PIECES):
+        assert counted(pieces) == [sum(plain(MARK + w, pieces) for w in ("abab", "ab", "abab"))]
+    assert counted(PIECES) != counted(other)
