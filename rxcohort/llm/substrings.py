@@ -17,40 +17,56 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxcohort.llm.common import in_slices, in_small_batches, kept
+from rxcohort.llm.hashing import MIX, ODD, SEGMENT, Substrings
 
 WINDOW = 13
 CHUNK = 1_000_000  # words a task takes together
-REMEMBERED = 300_000  # words whose hashes it keeps meanwhile
 KEY_BITS = 22  # of a block's hash besides its bucket
 LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
 
-_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 
-class WordHashes(dict):
-    """64-bit hashes of words, the first ones of a chunk remembered."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = value
-        return value
+def _segment_hashes(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some text, and where they begin."""
+    at = np.flatnonzero(np.diff(_BLANK[octets], prepend=True, append=True))
+    begin, end = at[::2], at[1::2]
+    return Substrings(octets).hashes(begin, end), begin
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, text after text, and the number of words of each text.
 
-def rolling(words: np.ndarray, length: int, odd: np.uint64 = _ODD) -> np.ndarray:
+    Texts are put together and taken in segments of about ``SEGMENT`` bytes
+    that end between words, so memory does not grow with them.
+    """
+    joined = b" ".join(texts)
+    firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.empty(0, np.int64)
+    hashes, lengths, start = [], np.zeros(len(texts), np.int64), 0
+    while start < len(joined):
+        cut = _BLANKS.search(joined, min(len(joined), start + SEGMENT))
+        stop = cut.start() if cut else len(joined)
+        found, begin = _segment_hashes(np.frombuffer(joined, np.uint8, stop - start, start))
+        hashes.append(found)
+        lengths += np.bincount(np.searchsorted(firsts, begin + start, "right") - 1, minlength=len(texts))
+        start = stop
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), lengths
+
+
+def rolling(words: np.ndarray, length: int, odd: np.uint64 = ODD) -> np.ndarray:
     """A hash of each run of ``length`` words, by its first word."""
     count = len(words) - length + 1
     if count <= 0:
@@ -59,7 +75,7 @@ def rolling(words: np.ndarray, length: int, odd: np.uint64 = _ODD) -> np.ndarray
     for i in range(length):
         out = out * odd + words[i : i + count]
     out ^= out >> np.uint64(31)
-    out *= _MIX
+    out *= MIX
     return out ^ (out >> np.uint64(29))
 
 
@@ -133,22 +149,26 @@ def _per_bucket(bucket: np.ndarray, ids: np.ndarray, *packed: np.ndarray) -> Ite
         yield (int(bucket[lo]), _pack_ids(ids[lo:hi]), *blobs, *[None] * (2 - len(blobs)))
 
 
-def _chunks(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+def _chunks(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
     """Documents (id, text, more) gathered to chunks: (ids, lengths, word hashes, what else came)."""
-    ids, lengths, parts, more, total, known = [], [], [], [], 0, WordHashes()
+    held, total = [], 0
     expand = zstandard.ZstdDecompressor().decompress
+
+    def chunk() -> tuple:
+        ids, lengths, parts, more = zip(*held)
+        return np.concatenate(ids), np.concatenate(lengths), np.concatenate(parts), [m for own in more for m in own]
+
     for batch in in_slices(batches):
-        extra = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
-        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            words = (expand(text) if isinstance(text, bytes) else (text or "").encode()).split()
-            ids.append(doc), lengths.append(len(words)), more.append([e[i] for e in extra])
-            parts.append(known.of(words))
-            total += len(words)
-            if total >= CHUNK:
-                yield np.array(ids, np.int64), np.array(lengths), np.concatenate(parts), more
-                ids, lengths, parts, more, total, known = [], [], [], [], 0, WordHashes()
-    if ids:
-        yield np.array(ids, np.int64), np.array(lengths), np.concatenate(parts), more
+        texts = [expand(t) if isinstance(t, bytes) else (t or "").encode() for t in batch.column(1).to_pylist()]
+        hashes, lengths = word_hashes(texts)
+        more = list(zip(*[batch.column(i).to_pylist() for i in range(2, batch.num_columns)]))
+        held.append((batch.column(0).to_numpy().astype(np.int64), lengths, hashes, more))
+        total += len(hashes)
+        if total >= CHUNK:
+            yield chunk()
+            held, total = [], 0
+    if held:
+        yield chunk()
 
 
 def _send_anchors(window: int, bits: int):
@@ -164,12 +184,17 @@ def _send_anchors(window: int, bits: int):
             hashes = rolling(words, block)
             doc, position = doc[: len(hashes)], position[: len(hashes)]
             valid = (position + block <= lengths[doc]) & (lengths[doc] >= window)
-            key, whose = (hashes >> shift)[valid], ids[doc[valid]]
-            indexed = (position[valid] % block == 0).astype(np.uint8)
-            if not len(key):
+            known, rank = np.unique(ids, return_inverse=True)
+            width = np.uint64(len(known).bit_length())
+            indexed = (position[valid] % block == 0).astype(np.uint64)
+            # Key, document and flag as one number, which sorts faster than three arrays; a chunk has few documents.
+            entry = (hashes >> shift)[valid] << width | rank[doc[valid]].astype(np.uint64)
+            if not len(entry):
                 continue
-            order = np.lexsort((whose, key))
-            key, whose, indexed = key[order], whose[order], indexed[order]
+            entry = np.sort(entry << np.uint64(1) | indexed)
+            indexed = (entry & np.uint64(1)).astype(np.uint8)
+            entry >>= np.uint64(1)
+            key, whose = entry >> width, known[(entry & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(first, len(key)))
             several = whose[first] != whose[first + sizes - 1]
@@ -220,22 +245,30 @@ def _keys(packed: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<u8") if packed else np.empty(0, np.uint64)
 
 
+def _per_text(texts: list[bytes]) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    hashes, lengths = word_hashes(texts)
+    return np.split(hashes, np.cumsum(lengths)[:-1]) if texts else []
+
+
 def _looked_up(window: int, bits: int):
     """Documents with the starts of windows that touch a hit; those without are done."""
     block, shift = (window + 1) // 2, np.uint64(64 - bits - KEY_BITS)
 
     def look(batches: Iterator) -> Iterator:
-        expand, known = zstandard.ZstdDecompressor().decompress, WordHashes()
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in in_slices(batches):
-            cols = [batch.column(i).to_pylist() for i in range(3)]
+            _, bodies_in, found = (batch.column(i).to_pylist() for i in range(3))
             counts, digests, bodies, firsts = [], [], [], []
-            for doc, packed, keys in zip(*cols):
-                words = expand(packed).split()
+            texts = [expand(packed) for packed in bodies_in]
+            hashed = _per_text([t if keys else b"" for t, keys in zip(texts, found)])
+            for packed, body, keys, own in zip(bodies_in, texts, found, hashed):
+                words = body.split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 starts = np.empty(0, np.int64)
                 if keys and len(words) >= window:
-                    hashes = rolling(known.of(words), block)
+                    hashes = rolling(own, block)
                     hit = np.isin(hashes >> shift, _keys(keys)).astype(np.int64)
                     # A window is looked at if one of the blocks inside it was hit.
                     sums = np.append(0, np.cumsum(hit))
@@ -256,8 +289,21 @@ def _looked_up(window: int, bits: int):
 
 def _window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of every window; together they tell windows apart at any size of corpus."""
-    turned = (words ^ (words >> np.uint64(33))) * _MIX
-    return rolling(words, window), rolling(turned ^ (turned >> np.uint64(30)), window, _MIX)
+    turned = (words ^ (words >> np.uint64(33))) * MIX
+    return rolling(words, window), rolling(turned ^ (turned >> np.uint64(30)), window, MIX)
+
+
+def _runs(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries with equal windows next to each other, where runs begin, and their sizes; in a run ids have no order."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():  # first hashes of different windows meet, so the second ones part them
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    first = np.flatnonzero(np.append(True, ~same)) if len(x) else np.empty(0, np.int64)
+    return x, y, ids[order], first, np.diff(np.append(first, len(x)))
 
 
 def _send_windows(window: int, bits: int):
@@ -271,12 +317,10 @@ def _send_windows(window: int, bits: int):
             at = np.concatenate([s + o for s, o in zip(starts, own)])
             whose = np.repeat(ids, [len(o) for o in own])
             a, b = (h[at] for h in _window_hashes(words, window))
-            order = np.lexsort((whose, b, a))
-            a, b, whose = a[order], b[order], whose[order]
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            sizes = np.diff(np.append(first, len(a)))
-            later = whose > np.repeat(whose[first], sizes)
-            rows = list(_per_bucket((a[first] >> shift).astype(np.int32), whose[first], (8, a[first]), (4, b[first])))
+            a, b, whose, first, sizes = _runs(a, b, whose)
+            smallest = np.minimum.reduceat(whose, first) if len(first) else whose
+            later = whose > np.repeat(smallest, sizes)
+            rows = list(_per_bucket((a[first] >> shift).astype(np.int32), smallest, (8, a[first]), (4, b[first])))
             rows.extend(_own(whose[later], a[later], buckets))
             yield from _rows(rows)
 
@@ -290,10 +334,8 @@ def _meet_windows(key: tuple, table: pa.Table) -> pa.Table:
         ids = np.concatenate([_unpack_ids(b) for b in sent.column("ids").to_pylist()])
         a = np.concatenate([_from_planes(b, 8) for b in sent.column("first").to_pylist()])
         b = np.concatenate([_from_planes(b, 4) for b in sent.column("second").to_pylist()])
-        order = np.lexsort((ids, b, a))
-        a, b, ids = a[order], b[order], ids[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        later = ids > np.repeat(ids[first], np.diff(np.append(first, len(a))))
+        a, b, ids, first, sizes = _runs(a, b, ids)
+        later = ids > np.repeat(np.minimum.reduceat(ids, first), sizes)
         rows.extend(_by_doc(ids[later], a[later]))
     return _answer(rows)
 
@@ -302,16 +344,18 @@ def _removed(window: int):
     """What is left of each document once its repeated windows are taken out."""
 
     def take(batches: Iterator) -> Iterator:
-        expand, known = zstandard.ZstdDecompressor().decompress, WordHashes()
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in in_slices(batches):
-            cols = [batch.column(i).to_pylist() for i in range(5)]
+            shas, bodies, found = (batch.column(i).to_pylist() for i in range(2, 5))
+            # Of several rows with an id, some may have nothing to look at.
+            texts = [expand(body) if keys and body is not None else None for body, keys in zip(bodies, found)]
             removed, digests, spans = [], [], []
-            for _, _, sha, body, keys in zip(*cols):
-                if not keys or body is None:  # of several rows with an id, some may have nothing to look at
+            for sha, text, keys, own in zip(shas, texts, found, _per_text([t or b"" for t in texts])):
+                if text is None:
                     removed.append(0), digests.append(sha), spans.append("")
                     continue
-                words = expand(body).split()
-                hit = np.isin(_window_hashes(known.of(words), window)[0], _keys(keys))
+                words = text.split()
+                hit = np.isin(_window_hashes(own, window)[0], _keys(keys))
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.flatnonzero(hit)
                 edge[at] += 1

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from llm.tables import EDGES, docs, words
@@ -62,3 +63,18 @@ def test_edges_ties_and_repeated_rows(spark):
     rows = [*EDGES, (20, long), (20, long), (None, long), (None, long), (21, long.upper()), (22, long[:-1]), (23, "\x1f" + long)]
     check(spark, rows)
     assert substrings.remove_repeats(docs(spark, [])).collect() == []
+
+
+def test_word_hashes_do_not_depend_on_where_a_word_stands(monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", 50)
+    pick = random.Random(2)
+    words = ["a", "b", "ab", "ba", "aa", "é", "x" * 300, "longer-word", "longer-wore", "\x1c", "0"]
+    texts = [pick.choice(["", " ", "\n\t"]).join([""] + [w + pick.choice([" ", "\n", "  ", "\x0b"]) for w in pick.choices(words, k=n)]) for n in (0, 1, 5, 80, 0, 300)]
+    hashes, lengths = substrings.word_hashes([t.encode() for t in texts])
+    own = [w for t in texts for w in t.encode().split()]
+    assert lengths.tolist() == [len(t.encode().split()) for t in texts] and len(hashes) == len(own)
+    by_word = {}
+    for w, h in zip(own, hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word) > 8
+    assert substrings.word_hashes([])[0].tolist() == substrings.word_hashes([b"", b" "])[0].tolist() == []
