@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +69,14 @@ def in_slices(batches: Iterator, most: int = 500, octets: int = 8 << 20) -> Iter
             yield batch.slice(start, rows)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

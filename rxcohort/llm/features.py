@@ -8,7 +8,7 @@ words. Sets, not counts, so a long text is not more than what it contains.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -35,12 +35,19 @@ def features(text: str | None) -> tuple[set[int], int]:
     found = set(map(crc32, distinct))
     for n in PREFIXES:
         found.update(map(crc32, {b"\x04" + w[:n] for w in distinct if len(w) > n}))
-    found.update(crc32(b"\x01" + s[:8]) for s in set(raw.translate(None, _NOT_SYMBOLS).split()))
-    found.add(crc32(b"\x02%d" % (10 * len(distinct) // max(1, len(words)))))
-    found.add(crc32(b"\x03%d" % len(words).bit_length()))
+    found.update(_of_symbols(raw))
+    found.update(_of_size(len(distinct), len(words)))
     return found, len(words)
 
 
+def _of_symbols(raw: bytes) -> Iterator[int]:
+    return (crc32(b"\x01" + s[:8]) for s in set(raw.translate(None, _NOT_SYMBOLS).split()))
+
+
+def _of_size(distinct: int, words: int) -> tuple[int, int]:
+    return crc32(b"\x02%d" % (10 * distinct // max(1, words))), crc32(b"\x03%d" % words.bit_length())
+
+
 def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and the features as packed unsigned 32-bit numbers, for training rows."""
 
@@ -53,8 +60,10 @@ def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return in_small_batches(chosen).mapInArrow(rows, "doc_id long, features binary")
 
 
-def sampled(docs: DataFrame, picked: DataFrame, doc_id: str, text: str) -> list[tuple]:
-    """Features of the picked documents: (the columns of ``picked`` but doc_id, features).
+def sampled(
+    docs: DataFrame, picked: DataFrame, doc_id: str, text: str, coded: Callable[..., DataFrame] | None = None
+) -> list[tuple]:
+    """Features of the picked documents: (the columns of ``picked`` but doc_id, features), by ``hashed`` or ``coded``.
 
     ``picked`` is a bounded sample of ids (doc_id and more), so it may be
     broadcast and its features brought to the driver.
@@ -62,7 +71,7 @@ def sampled(docs: DataFrame, picked: DataFrame, doc_id: str, text: str) -> list[
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     met = chosen.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
     found = {}
-    for row in hashed(met, "doc_id", "text").collect():
+    for row in (coded or hashed)(met, "doc_id", "text").collect():
         found[row.doc_id] = row.features  # a repeated id: one of its rows
     rest = [c for c in picked.columns if c != "doc_id"]
     return [

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxcohort.llm.common import in_slices, in_small_batches, kept
-from rxcohort.llm.features import Matrix, features, sampled, telling
+from rxcohort.llm.bags import Weights, hashed
+from rxcohort.llm.common import in_slices, in_small_batches, kept, unused
+from rxcohort.llm.features import Matrix, sampled, telling
 
 LABELLED = 12_000  # labelled documents at most, for training the classifier
 LEAST_SHARE = 1e-3  # a domain with less of the expected tokens counts as absent
@@ -33,20 +34,20 @@ class Classifier:
     """Log-linear weights by feature, and biases, one number per domain."""
 
     domains: list[str]
-    weights: dict[int, np.ndarray]
+    weights: Weights
     bias: np.ndarray
 
-    def posterior(self, found: set[int]) -> np.ndarray:
-        z = self.bias + sum(self.weights[h] for h in sorted(self.weights.keys() & found))
-        p = np.exp(z - z.max())
-        return p / p.sum()
+    def posteriors(self, texts: list[str | None], table: np.ndarray) -> np.ndarray:
+        z = self.bias + self.weights.sums(texts, table)
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
 
 def fit_classifier(rows: list[tuple[str, np.ndarray]], domains: list[str], steps: int = 200, decay: float = 1e-4) -> Classifier:
     """Softmax regression by full-batch Adam; without rows every posterior is uniform."""
     groups = [[f for d, f in rows if d == domain] for domain in domains]
     if not rows:
-        return Classifier(domains, {}, np.zeros(len(domains)))
+        return Classifier(domains, Weights(np.empty(0, np.uint32), np.zeros((0, len(domains)))), np.zeros(len(domains)))
     vocabulary = telling(groups)
     x = Matrix([f for g in groups for f in g], vocabulary)
     truth = np.repeat(np.arange(len(domains)), [len(g) for g in groups])
@@ -62,7 +63,7 @@ def fit_classifier(rows: list[tuple[str, np.ndarray]], domains: list[str], steps
         slope[:-1] += decay * w[:-1]
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         w -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return Classifier(domains, dict(zip(vocabulary.tolist(), w[:-1])), w[-1])
+    return Classifier(domains, Weights(vocabulary, w[:-1]), w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], doc_id: str, text: str) -> Classifier:
@@ -77,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
         F.min("domain").alias("domain")
     )
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    return fit_classifier(sampled(docs, picked, doc_id, text), domains)
+    return fit_classifier(sampled(docs, picked, doc_id, text, hashed), domains)
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, text: str, tokens: str, posterior: str) -> DataFrame:
@@ -85,14 +86,12 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str, tokens: str,
     names, at = docs.columns, docs.columns.index(text)
 
     def rows(batches: Iterator) -> Iterator:
+        table = model.weights.table()
         for batch in in_slices(batches):
-            found = [features(t.as_py()) for t in batch.column(at)]
-            counts = [len((t.as_py() or "").encode().split()) for t in batch.column(at)]
-            ps = [model.posterior(f).tolist() for f, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(ps, pa.list_(pa.float64()))],
-                [*names, tokens, posterior],
-            )
+            texts = batch.column(at).to_pylist()
+            counts = [len((t or "").encode().split()) for t in texts]
+            ps = pa.array(list(model.posteriors(texts, table)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), ps], [*names, tokens, posterior])
 
     more = [T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]
     return in_small_batches(docs).mapInArrow(rows, T.StructType([*docs.schema.fields, *more]))
@@ -225,14 +224,15 @@ def mixed(
     """``docs``, each row as often as its copies say, with the same columns.
 
     With ``least`` at 1 no document is lost: weights are met by repeating.
+    Posteriors are computed once and written with the rows. Columns of any
+    name pass through; edge cases as in ``mix``.
     """
-    domains = list(targets)
+    domains, columns = list(targets), docs.columns
+    tokens, posterior, rate, copy = (unused(columns, name) for name in ("tokens", "posterior", "rate", "copy"))
     model = train(docs, labels, domain, domains, doc_id, text)
-    slim = docs.select(F.col(text).alias("text"))
-    table = kept(with_posteriors(slim, model, "text", "n_tokens", "posterior").drop("text"), "posteriors")
+    scored = kept(with_posteriors(docs, model, text, tokens, posterior), "posteriors")
+    table = scored.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior"))
     rates, _, _ = fit_rates(table, np.array([targets[d] for d in domains], float), least=least)
-    scored = with_posteriors(docs, model, text, "_tokens", "_posterior").drop("_tokens")
-    rated = _rate(rates, "_posterior", len(domains), scored, "_rate")
-    times = copies(F.col("_rate"), F.col(doc_id))
-    repeated = rated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
-    return repeated.drop("_copy")
+    rated = _rate(rates, posterior, len(domains), scored, rate)
+    times = copies(F.col(rate), F.col(f"`{doc_id}`"))
+    return rated.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)

@@ -3,7 +3,7 @@ import pytest
 from llm.tables import EDGES, docs
 from pyspark.sql import functions as F
 
-from rxcohort.llm import mixing
+from rxcohort.llm import bags, features, mixing
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,6 +52,42 @@ def test_no_document_is_lost_with_a_least_rate(spark):
     assert out.select("doc_id").distinct().count() == table.count() < out.count()
 
 
+def test_bags_have_the_features_of_each_text(monkeypatch):
+    """As many as the plain features, alike whatever stands beside the text, and weighted once each."""
+    texts = [t for _, t in EDGES] + ["Alphabetical alphabets, ALPHA!! <b>", "alpha alpha beta", "ééé ÉÉÉ"]
+    alone = [bags.bags([t])[0] for t in texts]
+    for segment in (1 << 20, 40):
+        monkeypatch.setattr(bags, "SEGMENT", segment)
+        together = bags.bags(texts)
+        assert len(together) == len(texts) and all((a == b).all() for a, b in zip(alone, together))
+        assert [len(b) for b in together] == [len(features.features(t)[0]) for t in texts]
+        codes = np.unique(np.concatenate(alone))[::2]
+        weights = bags.Weights(codes, np.random.default_rng(1).normal(size=(len(codes), 3)))
+        want = [weights.rows[np.isin(codes, b)].sum(0) for b in alone]
+        assert np.allclose(weights.sums(texts, weights.table()), want)
+    assert bags.bags([]) == [] and bags.codes([])[0].tolist() == []
+
+
+def test_classifier_tells_held_out_domains(spark):
+    table, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    held, seen = labels.where("doc_id % 4 = 0"), labels.where("doc_id % 4 <> 0")
+    model = mixing.train(table, seen, F.col("quality").cast("string"), ["0", "1"], "doc_id", "text")
+    rows = table.join(held.select("doc_id", "quality"), "doc_id").select("text", "quality").collect()
+    ps = model.posteriors([r.text for r in rows], model.weights.table())
+    right = sum(int(p.argmax()) == r.quality for p, r in zip(ps, rows))
+    usual = max(sum(r.quality == q for r in rows) for q in (0, 1))
+    assert len(rows) > 20 and right >= usual
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, f"text {i} words", 1.0, "p", 2, 3) for i in range(20)]
+    names = "doc_id long, text string, rate double, posterior string, copy int, Tokens int"
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, names)
+    out = mixing.mixed(frame, labels, F.col("quality").cast("string"), {"1": 0.5, "0": 0.5}, least=1.0)
+    assert out.columns == frame.columns and set(map(tuple, out.collect())) == set(rows)
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (5, None), (4, 1)], "doc_id long, quality int")
     domain, targets = F.col("quality").cast("string"), {"1": 0.5, "0": 0.5}
