@@ -249,14 +249,22 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by the kind in angle brackets.
 
-    Overlapping spans are replaced together, under the kind that starts first.
-    A null text stays null.
+    Overlapping spans are replaced together, under the kind that starts first;
+    of several that start together the first in the order of kinds. A null text
+    stays null, an empty one empty; long texts are replaced whole. Repeated
+    rows and rows without an id are rows like others, an empty table stays
+    empty. Patterns are matched once: rows are written with what was found.
+    Other columns pass through, whatever their names.
     """
-    table = with_candidates(docs, text)
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    body = own[names.index(text)]
+    numbered = docs.select(*[F.col(f"`{name}`").alias(c) for name, c in zip(names, own)])
+    table = kept(with_candidates(numbered, body), "candidates")
     found = with_spans(table, fit(table))
     ordered = by_start(F.concat("_base", "_added"), [*KINDS, *WIDE])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.col(text)
+    whole = F.col(body)
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(whole, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
@@ -271,7 +279,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(state["out"], ""), rest)
 
     replaced = F.aggregate("_ordered", start, step, close)
-    done = found.withColumn("_ordered", ordered).withColumn(
-        text, F.when(F.size("_ordered") > 0, replaced).otherwise(whole)
-    )
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = found.withColumn("_ordered", ordered).withColumn(body, F.when(F.size("_ordered") > 0, replaced).otherwise(whole))
+    return done.select(*[F.col(c).alias(name) for name, c in zip(names, own)])

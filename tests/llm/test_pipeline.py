@@ -87,5 +87,23 @@ def test_awkward_documents_pass_every_stage(spark, tmp_path, rows):
     assert len(kept) == len(fps)
 
 
+def test_columns_with_the_names_used_inside_pass_through(spark):
+    """All stages but the last keep columns that are called as their own working columns are."""
+    names = ["key", "_key", "same", "toxic_score", "_toxic_score", "tokens", "posterior", "rate", "copy", "_base", "_wide", "_ordered", "c0", "row"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"text {i} of some words, mail a{i}@b.example", "en", "s", 9, *[f"{n}{i}" for n in names]) for i in range(8)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.schema.names == schema_names(schema)
+        for r in docs.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert docs.count()
+
+
+def schema_names(schema):
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def test_features_ignore_everything_but_the_text():
     assert features(None) == features("")
