@@ -12,7 +12,7 @@ from rxcohort.llm import packing
 
 
 TOKENIZER = Tokenizer.from_file(packing.public_vocabulary())  # with the file's own settings
-WORDS = packing.Words(packing.public_vocabulary())
+WORDS = packing.Words(packing.public_vocabulary(), packing.public_ranks())
 
 
 def plain_pieces(text, capacity):
@@ -52,6 +52,16 @@ def test_ids_of_many_short_texts():
     assert np.frombuffer(WORDS.ids("x<|endoftext|>"), "<u4").tolist()[-1] == 50256
 
 
+def test_words_of_the_corpus_have_the_same_ids_in_both_files(spark):
+    """Every distinct word of a table, with the blank or line feed before it."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = {w for t in texts for w in t.split()}
+    forms = [f"{before}{w}" for w in words for before in (" ", "\n")]
+    whole = TOKENIZER.encode_batch(forms, add_special_tokens=False)
+    assert len(words) > 10_000
+    assert all(WORDS.encode(form) == own.ids for form, own in zip(forms, whole) if "<|" not in form)
+
+
 def test_whole_documents_round_trip(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack_documents(table).collect()
