@@ -224,15 +224,17 @@ def mixed(
     """``docs``, each row as often as its copies say, with the same columns.
 
     With ``least`` at 1 no document is lost: weights are met by repeating.
-    Posteriors are computed once and written with the rows. Columns of any
+    Rates are fitted on posteriors without texts; the rows get theirs in the
+    pass that writes them, so no text is written in between. Columns of any
     name pass through; edge cases as in ``mix``.
     """
     domains, columns = list(targets), docs.columns
     tokens, posterior, rate, copy = (unused(columns, name) for name in ("tokens", "posterior", "rate", "copy"))
     model = train(docs, labels, domain, domains, doc_id, text)
-    scored = kept(with_posteriors(docs, model, text, tokens, posterior), "posteriors")
-    table = scored.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior"))
+    slim = docs.select(F.col(f"`{text}`").alias("text"))
+    table = kept(with_posteriors(slim, model, "text", "n_tokens", "posterior").drop("text"), "posteriors")
     rates, _, _ = fit_rates(table, np.array([targets[d] for d in domains], float), least=least)
+    scored = with_posteriors(docs, model, text, tokens, posterior).drop(tokens)
     rated = _rate(rates, posterior, len(domains), scored, rate)
     times = copies(F.col(rate), F.col(f"`{doc_id}`"))
     return rated.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)

@@ -253,14 +253,15 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     of several that start together the first in the order of kinds. A null text
     stays null, an empty one empty; long texts are replaced whole. Repeated
     rows and rows without an id are rows like others, an empty table stays
-    empty. Patterns are matched once: rows are written with what was found.
-    Other columns pass through, whatever their names.
+    empty. Patterns are matched in the pass that trains the classifier and in
+    the one that replaces, so no text is written in between. Other columns
+    pass through, whatever their names.
     """
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]
     body = own[names.index(text)]
     numbered = docs.select(*[F.col(f"`{name}`").alias(c) for name, c in zip(names, own)])
-    table = kept(with_candidates(numbered, body), "candidates")
+    table = with_candidates(numbered, body)
     found = with_spans(table, fit(table))
     ordered = by_start(F.concat("_base", "_added"), [*KINDS, *WIDE])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
