@@ -20,6 +20,7 @@ from rxcohort.llm.common import in_slices, in_small_batches
 from rxcohort.llm.features import _LETTERS, PREFIXES, _of_size, _of_symbols
 from rxcohort.llm.hashing import SEGMENT, Substrings
 
+SLICE = 1 << 20  # bytes of texts whose features are held at a time, or one text
 TABLE_BITS = 20  # of a code that a table of possible codes looks at
 
 
@@ -35,7 +36,7 @@ def _words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         blank = (octets == 32) | ((octets >= 9) & (octets <= 13))
         at = np.flatnonzero(np.diff(blank, prepend=True, append=True))
         begin, end = at[::2], at[1::2]
-        text = np.searchsorted(firsts, begin + start, "right") - 1
+        text = (np.searchsorted(firsts, begin + start, "right") - 1).astype(np.int32)
         yield text, begin, end, Substrings(octets)
         start = stop
 
@@ -65,8 +66,8 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ]
     if rest:
         more, symbols = zip(*rest)
-        whose.append(np.array(more, np.int64)), found.append(np.array(symbols, np.uint32))
-    return (np.concatenate(whose), np.concatenate(found)) if whose else (np.empty(0, np.int64), np.empty(0, np.uint32))
+        whose.append(np.array(more, np.int32)), found.append(np.array(symbols, np.uint32))
+    return (np.concatenate(whose), np.concatenate(found)) if whose else (np.empty(0, np.int32), np.empty(0, np.uint32))
 
 
 def bags(texts: list[str | None]) -> list[np.ndarray]:
@@ -81,7 +82,7 @@ def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and the features as packed unsigned 32-bit numbers, for training rows."""
 
     def rows(batches: Iterator) -> Iterator:
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, octets=SLICE):
             packed = [b.astype("<u4").tobytes() for b in bags(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "features"])
 
@@ -111,7 +112,7 @@ class Weights:
             return out
         at = np.minimum(np.searchsorted(self.codes, found), len(self.codes) - 1)
         hit = self.codes[at] == found
-        pairs = np.unique(whose[hit] * len(self.codes) + at[hit])
+        pairs = np.unique(whose[hit].astype(np.int64) * len(self.codes) + at[hit])
         whose, at = np.divmod(pairs, len(self.codes))
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(whose, self.rows[at, k], len(texts))

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SEGMENT = 1 << 20  # bytes taken together
+SEGMENT = 1 << 18  # bytes taken together
 
 # A byte's value in a hash, drawn once and for all.
 _VALUE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)

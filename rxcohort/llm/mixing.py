@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxcohort.llm.bags import Weights, hashed
+from rxcohort.llm.bags import SLICE, Weights, hashed
 from rxcohort.llm.common import in_slices, in_small_batches, kept, unused
 from rxcohort.llm.features import Matrix, sampled, telling
 
@@ -87,7 +87,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str, tokens: str,
 
     def rows(batches: Iterator) -> Iterator:
         table = model.weights.table()
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, octets=SLICE):
             texts = batch.column(at).to_pylist()
             counts = [len((t or "").encode().split()) for t in texts]
             ps = pa.array(list(model.posteriors(texts, table)), pa.list_(pa.float64()))
