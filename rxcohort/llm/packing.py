@@ -1,15 +1,14 @@
 """Best-fit packing of tokenized documents into sequences of fixed capacity.
 
-Bulk-synchronous best fit. Documents' pieces are range-sorted by length; open
-sequences are kept as gaps sorted by the room they have left. In each round
-the largest pieces not yet placed sweep the gaps for their successor (the
-smallest gap with room), conflicts are resolved by rank (the i-th piece of a
-length takes the i-th gap of the size), gaps are updated and the next round
-begins. Pieces of one length and gaps of one size are interchangeable, so
-rounds act on runs: how many pieces have a length, and which range of sequence
-numbers has a size. That state is bounded by the capacity, not by the number
-of documents; it comes from a distributed count, and rows are placed by their
-distributed rank.
+Bulk-synchronous best fit. Pieces of documents that are not yet placed and gaps
+(the room left in open sequences) are rows of one table. In each round this
+table is range-sorted by falling size and swept: a gap adds one to a running
+depth, a piece takes one away, so the piece that leaves a depth meets the gap
+that last reached it, its successor (the smallest gap with room that no
+longer piece has taken). Depths run on from task to task by one sum for each, and so
+rank resolves conflicts without two pieces asking for one gap. Gaps shrink by
+what they got, as many sequences are opened as the sizes left prove necessary,
+and the next round begins.
 """
 
 from __future__ import annotations
@@ -17,14 +16,13 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +31,10 @@ from rxcohort.llm.common import held, in_slices, in_small_batches, kept
 CAPACITY = 1024
 END_ID = 2
 CACHED = 400_000  # words whose ids a worker remembers
+BUNDLES = 16  # pieces up to this part of the capacity are placed in bundles of as much
+MERGED = 20  # rounds whose results are written together
+
+GAP, TO_PLACE = 0, 1  # kinds of rows in a round
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -146,44 +148,98 @@ def token_pieces(
     return in_small_batches(chosen).mapInArrow(rows, PIECE)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rounds of best fit over runs: (length, first rank, count, first sequence, offset).
+def sequences_needed(lengths: np.ndarray, rooms: np.ndarray, capacity: int) -> int:
+    """How many more sequences any packing needs, by what the sizes prove.
+
+    ``lengths`` and ``rooms`` count pieces and gaps by size, 0 to the capacity.
+    Pieces of a size or more go to gaps of that size or more, by tokens and by
+    number; what is over needs new sequences.
+    """
+    size = np.arange(capacity + 1)
+    most = 0
+    for least in np.flatnonzero(lengths):
+        p, g, s = lengths[least:], rooms[least:], size[least:]
+        tokens = int(p @ s) - int(g @ s)
+        number = int(p.sum()) - int(g @ (s // least))
+        most = max(most, -(-tokens // capacity), -(-number // (capacity // int(least))))
+    return most
+
+
+def _bundled(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces``, sorted by falling length, with the element they are placed in and their place there.
+
+    Long pieces are elements of their own. Short ones, neighbours in the sort,
+    share elements of at most a ``BUNDLES``-th of the capacity, which bounds
+    the number of rounds where documents are tiny.
+    """
+    order = [F.desc("length"), F.col("doc_id"), F.col("piece")]
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    names, at, short = pieces.columns, pieces.columns.index("length"), capacity // BUNDLES
 
-    ``counts`` says how many pieces have each length. Pieces of ``length``
-    with ranks from ``first rank`` on go, one each, to the sequences from
-    ``first sequence`` on, at ``offset``.
+    def rows(batches: Iterator) -> Iterator:
+        number, room, used = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in batches:
+            elements, places = [], []
+            for length in batch.column(at).to_pylist():
+                if length > room:
+                    number, room, used = number + 1, max(short, length), 0
+                elements.append(number), places.append(used)
+                room, used = room - length, used + length
+            extra = [pa.array(elements, pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "element", "within"])
+
+    more = [T.StructField("element", T.LongType()), T.StructField("within", T.LongType())]
+    return ordered.mapInArrow(rows, T.StructType([*pieces.schema.fields, *more]))
+
+
+def _depths(batches: Iterator) -> Iterator:
+    """A task's sorted gaps and pieces with the depth that each reaches or leaves, from 0 at the task's start."""
+    part, depth, seen = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        kind = batch.column(0).to_numpy().astype(np.int64)
+        after = depth + np.cumsum(1 - 2 * kind)
+        nth = seen + np.arange(len(kind))
+        if len(kind):
+            depth, seen = int(after[-1]), int(nth[-1]) + 1
+        extra = [pa.array(np.full(len(kind), part, np.int32)), pa.array(nth), pa.array(after + kind)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["kind", "size", "key", "part", "nth", "level"])
+
+
+def sweep(elements: DataFrame) -> DataFrame:
+    """One round: gaps and pieces (kind, size, key), each with its partner's key and size or null.
+
+    The longest pieces choose first, each the smallest gap that has room. A
+    level holds at most a gap and a piece for each size, since a sweep crosses
+    it no more often, so levels stay small however many rows have one size.
     """
-    gaps: dict[int, deque] = {}
-    sizes: list[int] = []  # of gaps that exist, ascending
-    opened, moves = 0, []
-
-    def add(size: int, run: tuple[int, int]) -> None:
-        if size:
-            if not gaps.get(size):
-                gaps.setdefault(size, deque())
-                insort(sizes, size)
-            gaps[size].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                fresh = -(-left // (capacity // length))
-                add(capacity, (opened, fresh))
-                opened += fresh
-                continue
-            size = sizes[at]
-            first, count = gaps[size].popleft()
-            taken = min(count, left)
-            if taken < count:
-                gaps[size].appendleft((first + taken, count - taken))
-            if not gaps[size]:
-                sizes.pop(at)
-            moves.append((length, rank, taken, first, capacity - size))
-            add(size - length, (first, taken))
-            rank, left = rank + taken, left - taken
-    return moves
+    order = [F.desc("size"), F.col("kind"), F.col("key")]
+    ordered = elements.select("kind", "size", "key").repartitionByRange(*order).sortWithinPartitions(*order)
+    table = kept(ordered.mapInArrow(_depths, "kind int, size int, key long, part int, nth long, level long"), "sorted")
+    ends = sorted(table.groupBy("part").agg(F.sum(1 - 2 * F.col("kind"))).collect())
+    before = np.cumsum([0, *(n for _, n in ends)])[: len(ends)].tolist()
+    starts = table.sparkSession.createDataFrame(list(zip((p for p, _ in ends), before)), "part int, before long")
+    level = Window.partitionBy("depth").orderBy("part", "nth")
+    row = F.struct("kind", "key", "size")
+    met = (
+        table.join(F.broadcast(starts), "part")  # one row for each task of the sort
+        .withColumn("depth", F.col("level") + F.col("before"))
+        .withColumn("other", F.when(F.col("kind") == TO_PLACE, F.lag(row).over(level)).otherwise(F.lead(row).over(level)))
+        .withColumn("other", F.when(F.col("other.kind") != F.col("kind"), F.col("other")))
+    )
+    partner = F.col("other.key").alias("partner"), F.col("other.size").alias("partner_size")
+    return kept(met.select("kind", "size", "key", *partner), "round")
+
+
+def _counts(elements: DataFrame, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pieces and of gaps by size, at most the capacity of each."""
+    found = np.zeros((2, capacity + 1), np.int64)
+    for kind, size, n in elements.groupBy("kind", "size").count().collect():
+        found[kind, size] = n
+    return found[TO_PLACE], found[GAP]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, tables)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -191,56 +247,43 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Needs doc_id, piece and length (1 to ``capacity``); other columns pass
     through. Ties and repeated rows are ordered by the sort and each get a
-    place. An empty table gives an empty table. What the driver sees is one
-    count for each length and task of the range sort, at most the capacity and
-    the number of tasks together.
+    place. An empty table gives an empty table. What the driver sees is a count
+    for each size and a sum for each task of a sort. A round is a few short
+    jobs over ids and sizes; there are about as many rounds as the fullest
+    sequence has elements, at most some 2 x ``BUNDLES`` where lengths are alike.
     """
-    plain, fields = pieces.columns, pieces.schema.fields
-    pieces = kept(pieces, "pieces")  # the range sort reads it twice
-    ordered = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-
-    def ranked(batches: Iterator) -> Iterator:
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            nth = []
-            for length in batch.column(batch.schema.get_field_index("length")).to_pylist():
-                nth.append(seen.get(length, 0))
-                seen[length] = nth[-1] + 1
-            extra = [pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*plain, "_sorted_part", "_nth"])
-
-    more = [T.StructField("_sorted_part", T.IntegerType()), T.StructField("_nth", T.LongType())]
-    table = kept(ordered.mapInArrow(ranked, T.StructType([*fields, *more])), "sorted")
-    counted = sorted(map(tuple, table.groupBy("length", "_sorted_part").count().collect()))
-    totals: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for length, part, count in counted:
-        base[part, length] = totals.get(length, 0)
-        totals[length] = base[part, length] + count
-    by_length: dict[int, list] = {}
-    for length, *move in best_fit(totals, capacity):
-        by_length.setdefault(length, []).append(move)
-    plan = {length: np.array(moves, np.int64).T for length, moves in by_length.items()}
-    shared = table.sparkSession.sparkContext.broadcast((base, plan))
-
-    def placed(batches: Iterator) -> Iterator:
-        base, plan = shared.value
-        for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            lengths, parts, nth = (cols[n].to_numpy() for n in ("length", "_sorted_part", "_nth"))
-            sequence, offset = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
-            for length in np.unique(lengths):
-                ranks, _, first, at = plan[int(length)]
-                mine = np.flatnonzero(lengths == length)
-                rank = nth[mine] + np.array([base[int(p), int(length)] for p in parts[mine]], np.int64)
-                move = np.searchsorted(ranks, rank, "right") - 1
-                sequence[mine], offset[mine] = first[move] + rank - ranks[move], at[move]
-            yield pa.RecordBatch.from_arrays(
-                [*(cols[n] for n in plain), pa.array(sequence), pa.array(offset)], [*plain, "sequence_id", "offset"]
-            )
-
-    more = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return table.mapInArrow(placed, T.StructType([*fields, *more]))
+    spark, names = pieces.sparkSession, pieces.columns
+    plain = [c if c in ("doc_id", "piece", "length") else f"column_{i}" for i, c in enumerate(names)]
+    pieces = pieces.toDF(*plain)  # names with dots can't go through Python tasks
+    table = kept(_bundled(kept(pieces, "pieces"), capacity), "bundled")
+    elements = kept(
+        table.groupBy(F.col("element").alias("key")).agg(F.sum("length").cast("int").alias("size")).select(
+            F.lit(TO_PLACE).alias("kind"), "size", "key"
+        ),
+        "elements",
+    )
+    lengths, rooms = _counts(elements, capacity)
+    opened, done = 0, [spark.createDataFrame([], "key long, sequence_id long, offset long")]
+    while lengths.any():
+        fresh = sequences_needed(lengths, rooms, capacity)
+        new = spark.range(opened, opened + fresh).withColumnRenamed("id", "key")
+        new = new.withColumn("kind", F.lit(GAP)).withColumn("size", F.lit(capacity))
+        useful = (F.col("kind") == TO_PLACE) | (F.col("size") >= int(np.flatnonzero(lengths)[0]))
+        swept = sweep(elements.where(useful).unionByName(new) if fresh else elements.where(useful))
+        opened += fresh
+        placed = swept.where((F.col("kind") == TO_PLACE) & F.col("partner").isNotNull())
+        offset = (capacity - F.col("partner_size")).cast("long")
+        done.append(placed.select("key", F.col("partner").alias("sequence_id"), offset.alias("offset")))
+        if len(done) > MERGED:
+            done = [kept(_union(done), "placed")]
+        left = swept.where((F.col("kind") == GAP) | F.col("partner").isNull())
+        room = F.when(F.col("kind") == GAP, F.col("size") - F.coalesce("partner_size", F.lit(0))).otherwise(F.col("size"))
+        elements = left.select("kind", room.alias("size"), "key")
+        lengths, rooms = _counts(elements, capacity)
+    places = _union(done).select(F.col("key").alias("element"), "sequence_id", F.col("offset").alias("first"))
+    met = table.join(places, "element")
+    at = F.col("first") + F.col("within")
+    return met.select(*[F.col(c).alias(name) for c, name in zip(plain, names)], "sequence_id", at.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options: object) -> DataFrame:
