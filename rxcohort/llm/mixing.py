@@ -12,6 +12,7 @@ kept between steps.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -139,16 +140,20 @@ def fit_rates(
     """Projected gradient from rate 1 for every document: the rates, what they give, and the targets in tokens.
 
     ``table`` has n_tokens and posterior. ``shares`` are target weights; a
-    domain that is absent gets none and the others share its weight. Without
-    ``tokens`` the total is the smallest for which no present domain has to
-    shrink. Errors are weighted by one over a domain's tokens, and steps are
-    measured in tokens of a document, so that neither small domains nor short
-    documents lag behind. It ends when no domain is off by more than ``close``
-    of all tokens.
+    domain that is absent (under ``LEAST_SHARE`` of the expected tokens) gets
+    none and the others share its weight, with a warning. Without ``tokens``
+    the total is the smallest for which no present domain has to shrink. Errors
+    are weighted by the inverse of the sums of tokens x posterior x posterior,
+    in which a full step is never too long and meets all targets at once where
+    no rate is held at ``least``. It ends when no domain is off by more than
+    ``close`` of all tokens; when ``rounds`` steps do not get there, as with
+    targets that no rates can meet, a warning says how far off the worst is.
     """
     width = len(shares)
     now = _sums(table, Rates([]), width, False)
     present = now > LEAST_SHARE * max(now.sum(), 1.0)
+    if (~present & (shares > 0)).any() and now.sum() > 0:
+        warnings.warn(f"target domains at {np.flatnonzero(~present & (shares > 0)).tolist()} are absent; the others share their weight")
     wanted = np.where(present, shares, 0.0)
     if wanted.sum() <= 0:
         return Rates([], least), now, now
@@ -156,16 +161,14 @@ def fit_rates(
     if tokens is None:
         tokens = max(now[d] / wanted[d] for d in range(width) if wanted[d] > 0)
     target = wanted * tokens
-    scale = 1 / np.maximum(now, 1.0)
     gram = _sums(table, Rates([]), width, True)
-    curvature = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None]).max()
+    weight = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(width))
     steps: list[np.ndarray] = []
-    for _ in range(rounds):
-        miss = now - target
-        if np.abs(miss).max() <= close * target.sum():
-            break
-        steps.append(miss * scale / curvature)
+    while (off := np.abs(now - target).max() / target.sum()) > close and len(steps) < rounds:
+        steps.append(weight @ (now - target))
         now = _sums(table, Rates(steps, least), width, False)
+    if off > close:
+        warnings.warn(f"after {rounds} steps a domain is off its target by {off:.2g} of all tokens")
     return Rates(steps, least), now, target
 
 

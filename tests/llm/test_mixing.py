@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 from llm.tables import EDGES, docs
@@ -15,12 +17,11 @@ def expected(rows):
 
 def plain_rates(p, n, target, rounds):
     """Projected gradient over an array of all documents."""
-    scale = 1 / (n @ p)
     gram = (p * n[:, None]).T @ p
-    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max()
+    weight = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(len(gram)))
     rate = np.ones(len(p))
     for _ in range(rounds):
-        rate = np.maximum(0, rate - p @ (step * scale * ((n * rate) @ p - target)))
+        rate = np.maximum(0, rate - p @ (weight @ ((n * rate) @ p - target)))
     return rate
 
 
@@ -98,3 +99,20 @@ def test_edges(spark):
     assert {round(r.rate, 3) for r in mixing.mix(docs(spark, EDGES), none, domain, targets).collect()} == {1.0}
     assert mixing.mix(docs(spark, []), labels, domain, targets).collect() == []
     assert mixing.mixed(docs(spark, []), labels, domain, targets).collect() == []
+
+
+def test_absent_domains_and_missed_targets_are_reported(spark):
+    """A domain without tokens, and a target that rates of at least one can't meet; otherwise few steps and no report."""
+    pick = np.random.default_rng(4)
+    rows = [(int(n), p.tolist()) for n, p in zip(pick.integers(1, 900, 400), pick.dirichlet([0.3, 0.3, 0.3], 400))]
+    table = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rates, now, target = mixing.fit_rates(table, np.array([0.6, 0.3, 0.1]))
+    assert np.abs(now - target).max() <= 1e-4 * target.sum() and len(rates.steps) < 40
+    two = spark.createDataFrame([(n, [*p[:2], 0.0]) for n, p in rows], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="absent"):
+        _, now, target = mixing.fit_rates(two, np.array([0.4, 0.4, 0.2]))
+    assert target[2] == 0 and np.isclose(target[0], target[1])
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.fit_rates(table, np.array([0.6, 0.3, 0.1]), tokens=1.0, least=1.0, rounds=3)
