@@ -40,6 +40,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Parts of one schema, at least one, written one after the other to one folder and read back together."""
+    job, path = uuid4().hex, None
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        path = path or f"{shared_folder(spark)}/rxcohort-{job}/{name}"
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose texts may be long, handed to Python workers in small batches.
 
